@@ -367,5 +367,5 @@ def document_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """All columns of the documents that stand for their component: the one with the least id (of rows that repeat it, one)."""
     chosen = document_components(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_r = 1").drop("_r")
+    once = docs.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__rank = 1").drop("__rank")
     return once.join(chosen, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -201,9 +201,9 @@ def _marks(key, table):
     edges = np.concatenate([[0], np.flatnonzero((np.diff(i) != 0) | (np.diff(k) != 0)) + 1, [len(i)]]) if len(i) else np.zeros(1, dtype=np.int64)
     return pa.table(
         {
-            "_id": pa.array(i[edges[:-1]] if len(i) else [], pa.int64()),
-            "_key": pa.array(k[edges[:-1]] if len(i) else [], pa.int64()),
-            "_starts": pa.array([p[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+            "__id": pa.array(i[edges[:-1]] if len(i) else [], pa.int64()),
+            "__key": pa.array(k[edges[:-1]] if len(i) else [], pa.int64()),
+            "__starts": pa.array([p[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -213,13 +213,13 @@ def _row_key(text: Column) -> Column:
 
 
 def marked_starts(docs: DataFrame) -> DataFrame:
-    """(_id, _key, _starts): starts of windows that occurred earlier, as lists of little-endian integers, by row."""
+    """(__id, __key, __starts): starts of windows that occurred earlier, as lists of little-endian integers, by row."""
     digits = buckets_for(docs)
     shared = docs.sparkSession.sparkContext.broadcast(extending_prefixes(docs, digits))
-    given = docs.select(F.col("doc_id").cast("bigint"), _row_key(F.col("text")).alias("_key"), "text").where(F.col("doc_id").isNotNull())
+    given = docs.select(F.col("doc_id").cast("bigint"), _row_key(F.col("text")).alias("__key"), "text").where(F.col("doc_id").isNotNull())
     sent = given.mapInArrow(_suffix_rows(digits, shared), "bucket int, kind int, payload binary")
-    found = sent.groupBy("bucket").applyInArrow(_marks, "_id bigint, _key bigint, _starts binary")
-    return found.groupBy("_id", "_key").agg(F.collect_list("_starts").alias("_starts"))
+    found = sent.groupBy("bucket").applyInArrow(_marks, "__id bigint, __key bigint, __starts binary")
+    return found.groupBy("__id", "__key").agg(F.collect_list("__starts").alias("__starts"))
 
 
 def kept_words(text: str | None, starts: list[bytes] | None) -> tuple[int, list[bytes]]:
@@ -239,8 +239,8 @@ def kept_words(text: str | None, starts: list[bytes] | None) -> tuple[int, list[
 def _joined(docs: DataFrame) -> DataFrame:
     """The rows with the marks of their words; only a row's own text and marks ever meet."""
     marks = marked_starts(docs)
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_key": _row_key(F.col("text"))})
-    return keyed.join(marks, ["_id", "_key"], "left").drop("_id", "_key")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__key": _row_key(F.col("text"))})
+    return keyed.join(marks, ["__id", "__key"], "left").drop("__id", "__key")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    given = _joined(docs.select("doc_id", "text")).select("doc_id", "text", "_starts")
+    given = _joined(docs.select("doc_id", "text")).select("doc_id", "text", "__starts")
     schema = StructType([given.schema["doc_id"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
     return given.mapInArrow(run, schema)
 
@@ -273,7 +273,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
             new = [t if not s else b" ".join(kept_words(t, s)[1]).decode() for t, s in zip(texts, starts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
 
-    given = _joined(docs).select(*names, "_starts")
+    given = _joined(docs).select(*names, "__starts")
     return given.mapInArrow(run, docs.schema)
 
 

@@ -228,6 +228,21 @@ def add_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
     return given.mapInArrow(run, schema)
 
 
+def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches):
+        m = shared.value
+        memory = _Weights(m.lexicon)
+        for b in batches:
+            score = m.score([t or "" for t in b.column(names.index("text")).to_pylist()], memory)
+            yield b.filter(pa.array(score < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's rows; rows whose crc32(doc_id) mod 5 is 0 are never learnt from."""
     model = fit(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
