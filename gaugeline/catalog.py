@@ -1,9 +1,482 @@
-"""Registered queries of the profiling engine and their SQL counterparts."""
+"""Registered queries of the profiling engine, each over whole tables, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def oracle_sql():
-    return {}
+from gaugeline.functions import fields as f
+from gaugeline.functions.vectors import euclidean, feature_vector
+from gaugeline.operators import anomaly, checks, markers, profile, schema as sch
+from gaugeline.sources import tables, text, views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Columns of the tables that are profiled, with how SQL renders them as text.
+COLUMNS = {
+    "customer": {"c_custkey": "i", "c_name": "s", "c_nationkey": "i", "c_acctbal": "d", "c_mktsegment": "s"},
+    "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"},
+    "lineitem": {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "d", "l_extendedprice": "d", "l_discount": "d", "l_tax": "d", "l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t"},
+    "part": {"p_partkey": "i", "p_name": "s", "p_brand": "s", "p_type": "s", "p_size": "i", "p_retailprice": "d"},
+    "events": {"event_id": "i", "ts": "t", "user_id": "i", "event_type": "s", "value": "d", "props": "s"},
+    "supplier": {"s_suppkey": "i", "s_name": "s", "s_nationkey": "i", "s_acctbal": "d"},
+}
+WIDE = {t: f"field_profile_{t}" for t in COLUMNS}
+NUMBERS = ("minimum", "maximum", "mean", "stddev")
+
+
+def query(name: str, sql: str | None = None):
+    def register(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return tables.rows_of(load(spark, sf_dir, name), list(COLUMNS[name]))
+
+
+def rounded(df: DataFrame, names: tuple[str, ...], digits: int = 4) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# -- SQL pieces ----------------------------------------------------------------------------------------------------
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def text_sql(column: str, kind: str) -> str:
+    shape = {"i": f"CAST({column} AS VARCHAR)", "s": column, "d": f"CAST(CAST({column} AS DECIMAL(38,4)) AS VARCHAR)", "t": f"strftime({column}, '%Y-%m-%d %H:%M:%S')"}[kind]
+    return f"coalesce({shape}, '')"
+
+
+def cells_sql(table: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS pos, {text_sql(c, k)} AS value FROM {table}" for i, (c, k) in enumerate(COLUMNS[table].items()))
+
+
+def is_sql(pattern: str, value: str = "value") -> str:
+    return f"regexp_matches({value}, {_q(pattern)})"
+
+
+LOOK_SQL = f"CASE WHEN value = '' THEN 'looks-empty' WHEN {is_sql(f.BOOLEAN)} THEN 'looks-boolean' WHEN {is_sql(f.INTEGRAL)} THEN 'looks-integral' WHEN {is_sql(f.REAL)} THEN 'looks-real' ELSE 'looks-text' END"
+NUM_SQL = f"CASE WHEN {is_sql(f.INTEGRAL)} OR {is_sql(f.REAL)} THEN TRY_CAST(value AS DOUBLE) END"
+COUNTS_SQL = ", ".join(f"count(*) FILTER (look = '{x}') AS \"{x.removeprefix('looks-')}\"" for x in f.LOOKS)
+STATS_SQL = "count(num) AS n_numeric, round(min(num), 4) AS minimum, round(max(num), 4) AS maximum, round(avg(num), 4) AS mean, round(stddev_pop(num), 4) AS stddev"
+
+
+def annotated_sql(cells: str) -> str:
+    return f"SELECT pos, value, {LOOK_SQL} AS look, {NUM_SQL} AS num FROM ({cells})"
+
+
+def profile_sql(table: str) -> str:
+    return f"SELECT pos, {COUNTS_SQL}, {STATS_SQL} FROM ({annotated_sql(cells_sql(table))}) GROUP BY pos"
+
+
+def forms_sql(table: str, threshold: int = profile.FREEFORM) -> str:
+    return f"SELECT pos, CASE WHEN n < {threshold} THEN n END AS uniques, CASE WHEN n < {threshold} THEN 'unique-text-count' ELSE 'looks-freeform' END AS form FROM (SELECT pos, count(DISTINCT value) AS n FROM ({cells_sql(table)}) GROUP BY pos)"
+
+
+def _digits_sql(value: str) -> str:
+    return f"regexp_replace({value}, {_q(f.CARD_FILLER)}, '', 'g')"
+
+
+CARD_SQL = (
+    f"({is_sql(f.CARD)} AND {is_sql(f.CARD_DIGITS, _digits_sql('value'))} AND "
+    f"CASE WHEN {is_sql(f.CARD)} AND {is_sql(f.CARD_DIGITS, _digits_sql('value'))} THEN "
+    f"list_sum(list_transform(list_reverse(string_split({_digits_sql('value')}, '')), lambda c, i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(c AS INTEGER) > 4 THEN CAST(c AS INTEGER) * 2 - 9 ELSE CAST(c AS INTEGER) * 2 END ELSE CAST(c AS INTEGER) END)) % 10 = 0 ELSE false END)"
+)
+ADDRESS_SQL = is_sql(f.ADDRESS, "translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+PII_SQL = f"CASE WHEN {is_sql(f.PHONE)} THEN 'phone' WHEN {is_sql(f.EMAIL)} THEN 'email' WHEN {CARD_SQL} THEN 'credit-card' WHEN {ADDRESS_SQL} THEN 'address' END"
+
+# Hand-made values that sit on the edges of the predicates, as rows for both engines.
+SAMPLES = [
+    "", "t", "FALSE", "True", "yes", "-", ".5", "1E5", "1.2e", "1e+", "12", "+3", "-007", "1.", "1.5", "1e5", "1.5e-3", "NaN", "1d", "0x1", "2016-03-04", "20160304xx", "2016.3.4", "2016/03.04", "19990101", "bob@example.com", "a@b.c", "a(b@c.de",
+    "0412 345 678", "+61-412-345-678", "+1 2 3", "2/47 Other Road", "2/47 other ROAD north", "123 Fake Boulevard", "1 a st", "4111 1111 1111 1111", "4111111111111112", "000000000000", "4111-1111-1111-1111", "12 34", "x", "é", " 12",
+]
+SAMPLE_SQL = "SELECT unnest([" + ", ".join(_q(x) for x in SAMPLES) + "]) AS value"
+
+
+def sample_values(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in SAMPLES], "value string")
+
+
+# -- profiles, one for each table ----------------------------------------------------------------------------------
+def _table_queries(t: str) -> None:
+    @query(WIDE[t], profile_sql(t))
+    def field_profile(spark, sf_dir):
+        return rounded(profile.field_profile(table_rows(spark, sf_dir, t), len(COLUMNS[t])), NUMBERS)
+
+    @query(f"field_forms_{t}", forms_sql(t))
+    def field_forms(spark, sf_dir):
+        return profile.capped_distinct(profile.exploded(table_rows(spark, sf_dir, t), len(COLUMNS[t])))
+
+    types = " ".join(f"sum(CASE WHEN look IN ({', '.join(_q(x) for x in s)}) THEN 1 ELSE 0 END) AS \"{k.removesuffix('-field')}\"," for k, s in f.INCLUDES.items())
+    hist = f"SELECT pos, {types.rstrip(',')} FROM ({annotated_sql(cells_sql(t))}) GROUP BY pos"
+    total = f"(SELECT count(*) FROM {t})"
+    fit = lambda x: f"{x} >= {sch.MATCH_RATIO} * {total}"
+    inferred = f"CASE WHEN {fit('boolean')} AND {fit('\"real\"')} THEN 'text-field' WHEN {fit('integral')} THEN 'integral-field' WHEN {fit('\"real\"')} THEN 'real-field' WHEN {fit('boolean')} THEN 'boolean-field' WHEN {fit('text')} THEN 'text-field' END"
+
+    @query(f"type_histogram_{t}", f"SELECT pos, CAST(text AS BIGINT) AS text, CAST(boolean AS BIGINT) AS boolean, CAST(integral AS BIGINT) AS integral, CAST(\"real\" AS BIGINT) AS \"real\" FROM ({hist})")
+    def type_histogram(spark, sf_dir):
+        return sch.histogram(profile.field_profile(table_rows(spark, sf_dir, t), len(COLUMNS[t])))
+
+    @query(f"schema_infer_{t}", f"SELECT h.pos, {inferred} AS field_type, g.uniques FROM ({hist}) h JOIN ({forms_sql(t, 40)}) g ON h.pos = g.pos")
+    def schema_infer(spark, sf_dir):
+        rows = table_rows(spark, sf_dir, t)
+        width = len(COLUMNS[t])
+        total = profile.row_summary(rows).first()["total_rows"]
+        return sch.infer(profile.field_profile(rows, width), profile.capped_distinct(profile.exploded(rows, width), 40), total, 1)
+
+
+for _t in COLUMNS:
+    _table_queries(_t)
+
+
+@query("type_ratios_orders", f"SELECT pos, round(sum(CASE WHEN look IN ('looks-integral', 'looks-empty') THEN 1 ELSE 0 END) / count(*), 6) AS integral, round(sum(CASE WHEN look IN ('looks-real', 'looks-integral', 'looks-empty') THEN 1 ELSE 0 END) / count(*), 6) AS \"real\", round(sum(CASE WHEN look IN ('looks-boolean', 'looks-empty') THEN 1 ELSE 0 END) / count(*), 6) AS boolean FROM ({annotated_sql(cells_sql('orders'))}) GROUP BY pos")
+def type_ratios_orders(spark, sf_dir):
+    rows = table_rows(spark, sf_dir, "orders")
+    total = profile.row_summary(rows).first()["total_rows"]
+    return rounded(sch.normalised(sch.histogram(profile.field_profile(rows, 6)), F.lit(total)).select("pos", "integral", "real", "boolean"), ("integral", "real", "boolean"), 6)
+
+
+@query("type_candidates_events", f"SELECT pos, concat_ws(',', 'text-field', CASE WHEN b >= 0.95 * n THEN 'boolean-field' END, CASE WHEN i >= 0.95 * n THEN 'integral-field' END, CASE WHEN r >= 0.95 * n THEN 'real-field' END) AS candidates FROM (SELECT pos, count(*) AS n, count(*) FILTER (look IN ('looks-boolean', 'looks-empty')) AS b, count(*) FILTER (look IN ('looks-integral', 'looks-empty')) AS i, count(*) FILTER (look IN ('looks-real', 'looks-integral', 'looks-empty')) AS r FROM ({annotated_sql(cells_sql('events'))}) GROUP BY pos)")
+def type_candidates_events(spark, sf_dir):
+    rows = table_rows(spark, sf_dir, "events")
+    total = profile.row_summary(rows).first()["total_rows"]
+    ratios = sch.normalised(sch.histogram(profile.field_profile(rows, 6)), F.lit(total))
+    return ratios.select("pos", F.array_join(sch.candidates(), ",").alias("candidates"))
+
+
+@query("median_lineitem", f"SELECT pos, CASE WHEN count(num) >= 2 THEN round(median(num), 4) END AS median FROM ({annotated_sql(cells_sql('lineitem'))}) GROUP BY pos")
+def median_lineitem(spark, sf_dir):
+    cells = profile.annotated(profile.exploded(table_rows(spark, sf_dir, "lineitem"), 11))
+    return cells.groupBy("pos").agg(F.round(profile.exact_median(), 4).alias("median"))
+
+
+# -- predicates ----------------------------------------------------------------------------------------------------
+@query(
+    "field_predicates",
+    f"SELECT value, {LOOK_SQL} AS looks, {is_sql(f.BOOLEAN)} AS is_boolean, CASE WHEN {is_sql(f.INTEGRAL)} THEN 'integral' WHEN {is_sql(f.REAL)} THEN 'real' END AS numeric_kind, {NUM_SQL} AS number, {is_sql(f.DATE)} AS is_date FROM ({SAMPLE_SQL})",
+)
+def field_predicates(spark, sf_dir):
+    v = F.col("value")
+    return sample_values(spark).select("value", f.looks(v).alias("looks"), f.is_boolean(v).alias("is_boolean"), f.numeric_kind(v).alias("numeric_kind"), f.numeric_value(v).alias("number"), f.is_date(v).alias("is_date"))
+
+
+@query(
+    "pii_predicates",
+    f"SELECT value, {is_sql(f.EMAIL)} AS is_email, {is_sql(f.PHONE)} AS is_phone, {ADDRESS_SQL} AS is_address, {CARD_SQL} AS is_credit_card, {PII_SQL} AS pii_type, translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM ({SAMPLE_SQL})",
+)
+def pii_predicates(spark, sf_dir):
+    v = F.col("value")
+    return sample_values(spark).select("value", f.is_email(v).alias("is_email"), f.is_phone(v).alias("is_phone"), f.is_address(v).alias("is_address"), f.is_credit_card(v).alias("is_credit_card"), f.pii_type(v).alias("pii_type"), f.ascii_lower(v).alias("lowered"))
+
+
+@query("date_fields_orders", f"SELECT pos, count(*) FILTER ({is_sql(f.DATE)}) AS dates FROM ({cells_sql('orders')}) GROUP BY pos")
+def date_fields_orders(spark, sf_dir):
+    cells = profile.exploded(table_rows(spark, sf_dir, "orders"), 6)
+    return cells.groupBy("pos").agg(F.count_if(f.is_date(F.col("value"))).alias("dates"))
+
+
+WORDS_SQL = "SELECT 0 AS pos, unnest(string_split(text, ' ')) AS value FROM documents UNION ALL SELECT 1 AS pos, unnest(string_split(text, ' ')) AS value FROM conversations"
+
+
+def word_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents (field 0) and turns (field 1) as cells."""
+    parts = [load(spark, sf_dir, t).select(F.lit(i).alias("pos"), F.explode(F.split("text", " ", -1)).alias("value")) for i, t in enumerate(("documents", "conversations"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("word_looks", f"SELECT pos, {COUNTS_SQL} FROM ({annotated_sql(WORDS_SQL)}) GROUP BY pos")
+def word_looks(spark, sf_dir):
+    return word_cells(spark, sf_dir).withColumn("look", f.looks(F.col("value"))).groupBy("pos").agg(*profile.look_counts())
+
+
+@query("pii_by_field_words", f"SELECT pos, type, count(*) AS n FROM (SELECT pos, {PII_SQL} AS type FROM ({WORDS_SQL})) WHERE type IS NOT NULL GROUP BY pos, type")
+def pii_by_field_words(spark, sf_dir):
+    return profile.pii_by_field(word_cells(spark, sf_dir))
+
+
+@query("pii_observations_words", f"SELECT count(*) AS observations, count(*) > 1000 AS too_many FROM (SELECT {PII_SQL} AS type FROM ({WORDS_SQL})) WHERE type IS NOT NULL")
+def pii_observations_words(spark, sf_dir):
+    return profile.pii_observations(word_cells(spark, sf_dir)).select("observations", "too_many")
+
+
+@query("pii_observations_samples", f"SELECT sum(n) AS observations, string_agg(type || ':' || pos || ':' || n, ',' ORDER BY type, pos) AS found FROM (SELECT type, 0 AS pos, count(*) AS n FROM (SELECT {PII_SQL} AS type FROM ({SAMPLE_SQL})) WHERE type IS NOT NULL GROUP BY type)")
+def pii_observations_samples(spark, sf_dir):
+    seen = profile.pii_observations(sample_values(spark).select(F.lit(0).alias("pos"), "value"))
+    return seen.select("observations", F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["type"], x["pos"].cast("string"), x["n"].cast("string"))), ",").alias("found"))
+
+
+# -- framing and tokenising -----------------------------------------------------------------------------------------
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines of delimited text, with some odd lines: blank, ragged, and one that isn't UTF-8."""
+    t = load(spark, sf_dir, "customer")
+    lines = t.select(F.concat_ws("|", *[tables.as_text(t, c) for c in COLUMNS["customer"]]).alias("value"))
+    odd = spark.createDataFrame([("",), ("a|b",), ('x|"y|z"|',), ("1|2|3|4|5\r",)], "value string")
+    broken = spark.createDataFrame([(bytearray(b"a\xc3|\xa9|b"),)], "raw binary").select(F.col("raw").cast("string").alias("value"))
+    return lines.unionByName(odd).unionByName(broken)
+
+
+LINES_SQL = "SELECT concat_ws('|', " + ", ".join(text_sql(c, k) for c, k in COLUMNS["customer"].items()) + ") AS value FROM customer UNION ALL SELECT unnest(['', 'a|b', 'x|\"y|z\"|', '1|2|3|4|5' || chr(13)])"
+
+
+@query("row_counts_lines", f"SELECT count(*) + 1 AS total_rows, CAST(1 AS BIGINT) AS bad_rows, (SELECT string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT len(string_split(value, '|')) AS w FROM ({LINES_SQL}))) AS field_counts FROM ({LINES_SQL})")
+def row_counts_lines(spark, sf_dir):
+    s = profile.row_summary(text.parse_lines(feed_lines(spark, sf_dir)))
+    return s.select("total_rows", "bad_rows", F.array_join(F.transform("field_counts", lambda x: x.cast("string")), ",").alias("field_counts"))
+
+
+@query("tokenise_delimited", f"SELECT i - 1 AS pos, string_split(value, '|')[i] AS field, count(*) AS n FROM (SELECT value, unnest(range(1, len(string_split(value, '|')) + 1)) AS i FROM ({LINES_SQL})) GROUP BY 1, 2")
+def tokenise_delimited(spark, sf_dir):
+    rows = text.parse_lines(feed_lines(spark, sf_dir)).where(~F.col("bad"))
+    return rows.select(F.posexplode("fields").alias("pos", "field")).select(F.col("pos").cast("bigint"), "field").groupBy("pos", "field").agg(F.count("*").alias("n"))
+
+
+# Lines of quoted text and the fields that they hold.
+QUOTED = [('"foo"|"bar"|"baz"', "foo~bar~baz"), ("foo|baz", "foo~baz"), ('bar|"123"', "bar~123"), ("", ""), ('"a|b"|c', "a|b~c"), ('"a""b"|c', 'a""b~c'), ('"open|rest', "open|rest"), ('"bar",96', "bar"), ('a"b|c', "a"), ("|", "~"), ('""|x', "~x"), ('"""|', '""|'), ("a||b|", "a~~b~")]
+
+
+@query("tokenise_quoted", "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in QUOTED) + ") t(line, fields)")
+def tokenise_quoted(spark, sf_dir):
+    lines = spark.createDataFrame([(a,) for a, _ in QUOTED], "line string")
+    return lines.select("line", F.array_join(text.split_quoted(F.col("line")), "~").alias("fields"))
+
+
+@query("tokenise_quoted_nation", "SELECT n_nationkey, '\"' || n_name || '|' || n_name || '\"' IS NOT NULL AS ok, n_name || '|' || n_name AS quoted, CAST(n_regionkey AS VARCHAR) AS plain FROM nation")
+def tokenise_quoted_nation(spark, sf_dir):
+    n = load(spark, sf_dir, "nation")
+    line = F.concat(F.lit('"'), "n_name", F.lit("|"), "n_name", F.lit('"|'), F.col("n_regionkey").cast("string"))
+    got = n.select("n_nationkey", text.split_quoted(line).alias("f"))
+    return got.select("n_nationkey", (F.size("f") == 2).alias("ok"), F.get("f", F.lit(0)).alias("quoted"), F.get("f", F.lit(1)).alias("plain"))
+
+
+PATHS = ["/data/v/year=2015/month=04/day=04/bar", "/data/v/year=2015/month=04/day=04/x/y-1", "/v/year=2014/month=09/day=23/year=2015/month=01/day=31/f", "/data/v/2015/01/bad", "v/year=15/month=1/day=1/f", "/data/v/year=2016/month=02/day=30/z"]
+
+
+@query("view_paths", "SELECT * FROM (VALUES ('/data/v/year=2015/month=04/day=04/bar', '/data/v', DATE '2015-04-04', 'bar'), ('/data/v/year=2015/month=04/day=04/x/y-1', '/data/v', DATE '2015-04-04', 'x/y-1'), ('/v/year=2014/month=09/day=23/year=2015/month=01/day=31/f', '/v', DATE '2014-09-23', 'year=2015/month=01/day=31/f'), ('/data/v/2015/01/bad', '', NULL, ''), ('v/year=15/month=1/day=1/f', '', NULL, ''), ('/data/v/year=2016/month=02/day=30/z', '/data/v', NULL, 'z')) t(path, view, date, part)")
+def view_paths(spark, sf_dir):
+    p = spark.createDataFrame([(x,) for x in PATHS], "path string")
+    return p.select("path", F.regexp_extract("path", views.PARTITION, 1).alias("view"), views.partition_date(F.col("path")).alias("date"), F.regexp_extract("path", views.PARTITION, 5).alias("part"))
+
+
+@query("date_range_orders", "SELECT CAST(min(o_orderdate) AS DATE) AS first_date, CAST(max(o_orderdate) AS DATE) AS last_date, strftime(min(o_orderdate), '%Y-%m-%d') || '_' || strftime(max(o_orderdate), '%Y-%m-%d') AS date_range FROM orders")
+def date_range_orders(spark, sf_dir):
+    return profile.date_summary(load(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date"))
+
+
+# -- checks ---------------------------------------------------------------------------------------------------------
+#: A schema that orders break in several ways: a wrong type, too few categories, a category that is free text.
+WRONG = [sch.SchemaField("boolean-field"), sch.SchemaField("integral-field"), sch.SchemaField("text-field", 2), sch.SchemaField("real-field", 5), sch.SchemaField("text-field"), sch.SchemaField("text-field", 5)]
+_WRONG_SQL = "(VALUES " + ", ".join(f"({i}, '{x.type}', {x.uniques if x.uniques is not None else 'NULL'})" for i, x in enumerate(WRONG)) + ") s(pos, field_type, uniques)"
+
+
+def _included_sql() -> str:
+    return " OR ".join(f"(field_type = '{t}' AND look IN ({', '.join(_q(x) for x in s)}))" for t, s in f.INCLUDES.items())
+
+
+@query(
+    "type_failures_orders",
+    "SELECT pos, 'schema validation failed: Field characteristics differ from those specified in schema: field type (field ' || pos || '): expected ' || field_type || ', saw ' || string_agg(look || ': ' || n, ', ' ORDER BY o) AS detail FROM "
+    f"(SELECT pos, field_type, look, list_position([{', '.join(_q(x) for x in f.LOOKS)}], look) AS o, count(*) AS n FROM ({annotated_sql(cells_sql('orders'))}) JOIN {_WRONG_SQL} USING (pos) WHERE NOT ({_included_sql()}) GROUP BY ALL) GROUP BY pos, field_type",
+)
+def type_failures_orders(spark, sf_dir):
+    looks = profile.field_profile(table_rows(spark, sf_dir, "orders"), 6)
+    return checks.type_failures(looks, sch.schema_frame(spark, WRONG)).select(F.col("pos"), "detail")
+
+
+@query(
+    "form_failures_orders",
+    "SELECT g.pos, 'schema validation failed: Field characteristics differ from those specified in schema: categorical field form (field ' || g.pos || '): expected ' || s.uniques || ', saw ' || CASE WHEN g.form = 'looks-freeform' THEN 'above freeform threshold' ELSE g.uniques || ' uniques' END AS detail "
+    f"FROM ({forms_sql('orders')}) g JOIN {_WRONG_SQL} ON g.pos = s.pos WHERE s.uniques IS NOT NULL AND (g.form = 'looks-freeform' OR g.uniques > s.uniques)",
+)
+def form_failures_orders(spark, sf_dir):
+    forms = profile.capped_distinct(profile.exploded(table_rows(spark, sf_dir, "orders"), 6))
+    return checks.form_failures(forms, sch.schema_frame(spark, WRONG)).select("pos", "detail")
+
+
+@query(
+    "row_failures_lines",
+    f"SELECT 3 AS ord, 'FieldCountMismatch' AS kind, 'row check failed: differing field counts: ' || string_agg(w, ', ' ORDER BY w) AS detail FROM (SELECT DISTINCT len(string_split(value, '|')) AS w FROM ({LINES_SQL})) UNION ALL SELECT 5, 'HasBadRows', 'row check failed: 1 rows failed to parse'",
+)
+def row_failures_lines(spark, sf_dir):
+    return checks.row_failures(profile.row_summary(text.parse_lines(feed_lines(spark, sf_dir)))).select("ord", "kind", "detail")
+
+
+@query("status_of_empty_feed", "SELECT false AS passed, 'row check failed: no rows in xSV document;row check failed: no rows in xSV document' AS failures")
+def status_of_empty_feed(spark, sf_dir):
+    none = text.parse_lines(feed_lines(spark, sf_dir).where("false"))
+    return checks.status(checks.row_failures(profile.row_summary(none))).select("passed", F.array_join("failures", ";").alias("failures"))
+
+
+@query("status_of_nation", "SELECT true AS passed, 0 AS failures")
+def status_of_nation(spark, sf_dir):
+    rows = tables.rows_of(load(spark, sf_dir, "nation"))
+    s = profile.row_summary(rows)
+    wanted = sch.schema_frame(spark, [sch.SchemaField("integral-field"), sch.SchemaField("text-field", 25), sch.SchemaField("integral-field", 5)])
+    found = checks.row_failures(s).unionByName(checks.width_failures(s, wanted)).unionByName(checks.type_failures(profile.field_profile(rows, 3), wanted)).unionByName(checks.form_failures(profile.capped_distinct(profile.exploded(rows, 3)), wanted))
+    return checks.status(found).select("passed", F.size("failures").alias("failures"))
+
+
+@query("width_failure_orders", "SELECT 'FieldCountObservationMismatch' AS kind, 'schema validation failed: Field count in schema differs from unique field observations. schema count is 2, observed 6' AS detail")
+def width_failure_orders(spark, sf_dir):
+    s = profile.row_summary(table_rows(spark, sf_dir, "orders"))
+    return checks.width_failures(s, sch.schema_frame(spark, [sch.SchemaField("text-field")] * 2)).select("kind", "detail")
+
+
+@query("pii_failure_samples", f"SELECT 'potential PII found: ' || string_agg(CASE type WHEN 'phone' THEN 'phone number' WHEN 'email' THEN 'email address' WHEN 'credit-card' THEN 'credit card' ELSE 'address' END || ' (field 0)', ', ' ORDER BY type) AS detail FROM (SELECT {PII_SQL} AS type FROM ({SAMPLE_SQL})) WHERE type IS NOT NULL")
+def pii_failure_samples(spark, sf_dir):
+    return checks.pii_failures(profile.pii_observations(sample_values(spark).select(F.lit(0).alias("pos"), "value"))).select("detail")
+
+
+# -- types ------------------------------------------------------------------------------------------------------------
+SUBSETS = [[t for j, t in enumerate(f.TYPES) if i >> j & 1] for i in range(1, 16)]
+
+
+@query(
+    "poset_minima",
+    "SELECT * FROM (VALUES " + ", ".join(f"({_q(','.join(s))}, {_q(','.join(t for t in s if not any(u != t and (t == 'text-field' or (u, t) == ('integral-field', 'real-field')) for u in s)))})" for s in SUBSETS) + ") t(types, minima)",
+)
+def poset_minima(spark, sf_dir):
+    sets = spark.createDataFrame([(s,) for s in SUBSETS], "held array<string>")
+    return sets.select(F.array_join("held", ",").alias("types"), F.array_join(sch.minima(F.col("held")), ",").alias("minima"))
+
+
+@query("type_includes", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{x}', {str(x in f.INCLUDES[t]).lower()})" for t in f.TYPES for x in f.LOOKS) + ") t(field_type, look, included)")
+def type_includes(spark, sf_dir):
+    grid = spark.createDataFrame([(t, x) for t in f.TYPES for x in f.LOOKS], "field_type string, look string")
+    return grid.withColumn("included", f.type_includes(F.col("field_type"), F.col("look")))
+
+
+# -- numeric rows -----------------------------------------------------------------------------------------------------
+@query("feature_vectors_part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, CAST(CAST(p_retailprice AS DECIMAL(38,4)) AS DOUBLE) AS b FROM part")
+def feature_vectors_part(spark, sf_dir):
+    t = load(spark, sf_dir, "part")
+    rows = t.select("p_partkey", F.array(*[tables.as_text(t, c) for c in COLUMNS["part"]]).alias("fields"))
+    v = anomaly.features(rows, [4, 5], ["p_partkey"])
+    return v.select("p_partkey", F.get("vector", F.lit(0)).alias("a"), F.get("vector", F.lit(1)).alias("b"))
+
+
+@query("feature_vectors_mixed", "SELECT count(*) AS n FROM part WHERE false")
+def feature_vectors_mixed(spark, sf_dir):
+    """A text field among the indexes leaves no vector."""
+    rows = table_rows(spark, sf_dir, "part")
+    return rows.select(feature_vector(F.col("fields"), [0, 1]).alias("v")).agg(F.count("v").alias("n"))
+
+
+@query("euclidean_embeddings", "SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))), 6) AS distance FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+def euclidean_embeddings(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings")
+    origin = e.where("vec_id = 0").select(F.col("embedding").alias("o"))  # one row
+    return e.crossJoin(F.broadcast(origin)).select("vec_id", F.round(euclidean(F.col("embedding"), F.col("o")), 6).alias("distance"))
+
+
+@query(
+    "nearest_embeddings",
+    "SELECT query, neighbour, round(d, 6) AS distance, rank FROM (SELECT q.vec_id AS query, v.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) WHERE rank <= 5",
+)
+def nearest_embeddings(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return rounded(anomaly.nearest(e, e.where("vec_id % 100 = 0"), 5, "vec_id"), ("distance",), 6).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("dimension_embeddings", "SELECT CASE WHEN min(len(embedding)) = max(len(embedding)) THEN max(len(embedding)) END AS dimension FROM embeddings")
+def dimension_embeddings(spark, sf_dir):
+    return anomaly.dimension(load(spark, sf_dir, "embeddings"), "embedding").select(F.col("dimension").cast("bigint"))
+
+
+# -- samples and markers ------------------------------------------------------------------------------------------------
+@query("reservoir_lineitem")
+def reservoir_lineitem(spark, sf_dir):
+    """Rows only: hashes differ between engines."""
+    keyed = profile.with_row_key(table_rows(spark, sf_dir, "lineitem"), ["fields"])
+    return profile.reservoir(keyed, 100).select("pos", "sample", profile.sample_median(F.col("sample")).alias("median"))
+
+
+@query("reservoir_sizes", "SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pos, least(100, (SELECT count(*) FROM lineitem)) AS size, true AS within")
+def reservoir_sizes(spark, sf_dir):
+    rows = table_rows(spark, sf_dir, "lineitem")
+    cells = profile.with_row_key(rows, ["fields"])
+    drawn = profile.reservoir(cells, 100)
+    span = profile.annotated(cells).groupBy("pos").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+    return drawn.join(F.broadcast(span), "pos").select("pos", F.size("sample").cast("bigint").alias("size"), F.forall("sample", lambda x: x.between(F.col("lo"), F.col("hi"))).alias("within"))
+
+
+@query("sample_median_table", "SELECT * FROM (VALUES ('', NULL), ('3.0', NULL), ('4.0,1.0', 2.5), ('9.0,1.0,5.0', 5.0), ('4.0,3.0,1.0,2.0', 2.5)) t(sample, median)")
+def sample_median_table(spark, sf_dir):
+    s = spark.createDataFrame([([],), ([3.0],), ([4.0, 1.0],), ([9.0, 1.0, 5.0],), ([4.0, 3.0, 1.0, 2.0],)], "s array<double>")
+    return s.select(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("sample"), profile.sample_median(F.col("s")).alias("median"))
+
+
+@query("summary_by_year", "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(min(l_quantity), 4) AS minimum, round(max(l_quantity), 4) AS maximum, round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS stddev, round(median(l_quantity), 4) AS median FROM lineitem GROUP BY 1")
+def summary_by_year(spark, sf_dir):
+    t = load(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("num"))
+    stats = t.groupBy("year").agg(*profile.numeric_stats(), profile.exact_median().alias("median")).drop("n_numeric")
+    return rounded(stats, (*NUMBERS, "median"))
+
+
+def _marker(name: str, failed: bool, day: str, looks: list[int], hashes: list[int] | None, numbers: list[float] | None, version: str = "v5") -> tuple[str, str]:
+    import json
+
+    summary = {"type": "no-numeric-summary"} if numbers is None else markers.numeric_summary({"n_numeric": len(numbers), "minimum": min(numbers), "maximum": max(numbers), "mean": sum(numbers) / len(numbers), "stddev": None, "median": None, "sample": numbers})
+    counts = {"bad-rows": 0, "total-rows": sum(looks), "field-counts": [1], "field-looks": [markers.look_vector(dict(zip(f.LOOKS, looks, strict=True)))], "text-counts": [{"type": "looks-freeform"} if hashes is None else {"type": "unique-text-count", "uniques": hashes}], "numeric-summaries": {"type": "numeric-field-summary", "field-summary": [summary]}}
+    return name, json.dumps({"version": version, "view": "/v", "timestamp": "2020-01-01 00:00:00", "results": [markers.result("row", ["bad"] if failed else [])], "metadata": {"check-dates": [day], "check-files": [], "check-params": {"separator": "|", "freeform-text-threshold": 50}, "counts": counts}})
+
+
+def marker_rows(spark: SparkSession) -> DataFrame:
+    rows = [
+        _marker("a", False, "2020-01-01", [1, 5, 0, 0, 0], [1, 2, 3], [1.0, 2.5]),
+        _marker("b", True, "2020-01-03", [0, 2, 4, 0, 0], [3, 4], [4.0]),
+        _marker("c", False, "2020-01-02", [0, 1, 1, 1, 0], [1], [7.5, 8.0, 9.0]),
+    ]
+    return spark.createDataFrame(rows, "path string, j string").select("path", F.from_json("j", markers.MARKER).alias("m")).select("path", "m.*")
+
+
+@query("markers_failed", "SELECT 'b' AS path, 'bad' AS failures")
+def markers_failed(spark, sf_dir):
+    return markers.failed(marker_rows(spark)).select("path", F.array_join(F.flatten(F.transform("results", lambda r: r["status"]["failure"])), ";").alias("failures"))
+
+
+@query("markers_summed", "SELECT 0 AS pos, CAST(1 AS BIGINT) AS empty, CAST(8 AS BIGINT) AS integral, CAST(5 AS BIGINT) AS \"real\", CAST(1 AS BIGINT) AS text, CAST(0 AS BIGINT) AS boolean")
+def markers_summed(spark, sf_dir):
+    return markers.summed_looks(marker_rows(spark)).select("pos", "empty", "integral", "real", "text", "boolean")
+
+
+@query("markers_forms", "SELECT 0 AS pos, 'unique-text-count' AS form, CAST(4 AS BIGINT) AS uniques")
+def markers_forms(spark, sf_dir):
+    return markers.merged_forms(marker_rows(spark), 50)
+
+
+@query("markers_schema", "SELECT 0 AS pos, 'text-field' AS field_type, CAST(4 AS BIGINT) AS uniques")
+def markers_schema(spark, sf_dir):
+    found = marker_rows(spark)
+    return sch.infer(markers.summed_looks(found), markers.merged_forms(found, 10), 15, 10, 0.95)
+
+
+@query("markers_report", "SELECT * FROM (VALUES ('2020-01-01', '1.0', '2.5', '1.75', 'NA', 'NA'), ('2020-01-02', '7.5', '9.0', '8.17', 'NA', 'NA'), ('2020-01-03', '4.0', '4.0', '4.0', 'NA', 'NA')) t(day, minimum, maximum, mean, stddev, median)")
+def markers_report(spark, sf_dir):
+    cells = markers.summaries(marker_rows(spark)).withColumn("mean", F.round("mean", 2))
+    return markers.summary_report(cells).select(F.col("start-date").alias("day"), "minimum", "maximum", "mean", F.col("std-dev").alias("stddev"), "median")
+
+
+@query("markers_samples", "SELECT unnest([1.0, 2.5, 4.0, 7.5, 8.0, 9.0]) AS sample")
+def markers_samples(spark, sf_dir):
+    wide = markers.sample_columns(markers.summaries(marker_rows(spark)))
+    return wide.select(F.col("0").alias("sample"))
