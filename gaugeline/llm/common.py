@@ -7,8 +7,11 @@ lost executor costs a re-read and never a wrong result.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,7 +20,26 @@ SPACE = r"[\x20\x09-\x0D]+"
 NO_ID = -(2**63)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give executors this package, unless their environment has it: workers import what functions name."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+    if root in known or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(tempfile.mkdtemp(prefix="gaugeline-code-")) / "gaugeline.zip"
+    with zipfile.ZipFile(package, "w") as z:
+        for f in sorted((root / "gaugeline").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(package))
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,10 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and retries re-read files."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and retries re-read files.
+
+    The table goes when the driver ends; until then lazy results may still read it.
+    """
+    spark = df.sparkSession
+    ship_code(spark)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -103,7 +103,7 @@ def extending_prefixes(docs: DataFrame, digits: int) -> bytes:
 
     whole = bytearray(1 << (MAP_BITS - 3))
     width = 1 << (below - 3)
-    for r in sent.groupBy("bucket").applyInArrow(several, "bucket int, bits binary").toLocalIterator():
+    for r in sent.groupBy("bucket").applyInArrow(several, "bucket int, bits binary").collect():
         whole[r["bucket"] * width : (r["bucket"] + 1) * width] = r["bits"]
     return bytes(whole)
 
