@@ -315,6 +315,47 @@ class Vocabulary:
         return b"".join(map(self._raw.__getitem__, ids.tolist()))
 
 
+# -- the same lattice as rows, for tables of distinct words and unigram scores -------------------------------------
+def lattice_edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, s, e, id, score): every substring of up to ``longest`` characters that is a piece.
+
+    ``pieces`` (piece, id, score) is a vocabulary, whose size is fixed, so it is the broadcast side.
+    """
+    n = F.length("word")
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).where(n > 0)
+    spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.length("word"), F.col("s") + longest))).alias("e"))
+    cut = spans.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
+    return cut.join(F.broadcast(pieces), "piece").select("word", "s", "e", "id", "score")
+
+
+def viterbi_words(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, ids): the segmentation of each distinct, non-empty word with the best sum of scores; null if there is none.
+
+    The edges of a word come together in order of their ends and a higher-order aggregate folds them: the state holds, for
+    each position, the best sum up to it and the edge that reached it.
+    """
+    grouped = lattice_edges(words, pieces, longest).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("e", "s", "id", "score"))).alias("edges"))
+    n = F.length("word")
+    start = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, 0.0).otherwise(float("-inf")).alias("best"), F.lit(-1).alias("back"), F.lit(-1).cast("bigint").alias("id")))
+
+    def step(acc, x):
+        total = F.get(acc, x["s"])["best"] + x["score"]
+        taken = F.struct(total.alias("best"), x["s"].alias("back"), x["id"].cast("bigint").alias("id"))
+        return F.when(total > F.get(acc, x["e"])["best"], F.transform(acc, lambda a, i: F.when(i == x["e"], taken).otherwise(a))).otherwise(acc)
+
+    def walk(path):
+        first = F.struct(F.length("word").alias("at"), F.array().cast("array<bigint>").alias("ids"))
+
+        def back(b, _):
+            here = F.get(path, b["at"])
+            return F.when(b["at"] <= 0, b).otherwise(F.struct(here["back"].alias("at"), F.concat(F.array(here["id"]), b["ids"]).alias("ids")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length("word")), first, back, lambda b: F.when(b["at"] == 0, b["ids"]))
+
+    folded = grouped.withColumn("path", F.aggregate("edges", start, step))
+    return folded.select("word", F.when(F.get("path", F.length("word"))["best"] > float("-inf"), walk(F.col("path"))).alias("ids"))
+
+
 @cache
 def default_vocabulary() -> Vocabulary:
     """The merge vocabulary installed with the library of public tokenizers; one per Python worker."""

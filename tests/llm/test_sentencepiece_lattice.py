@@ -57,7 +57,7 @@ def test_memory_forgets(monkeypatch):
         assert [x.tolist() for x in v.encode(given, memory)] == LIBRARY.encode(given)
 
 
-def test_viterbi_of_unigram_scores():
+def test_viterbi_of_unigram_scores(spark):
     rnd = random.Random(2)
     pieces = sorted({"".join(p) for n in (1, 2, 3) for p in itertools.product("abc", repeat=n) if n == 1 or rnd.random() < 0.5})
     scores = [round(-rnd.random() * len(p) ** 0.5 * 3, 4) for p in pieces]
@@ -71,3 +71,9 @@ def test_viterbi_of_unigram_scores():
     for u, ids in zip(units, v.lattice(units), strict=True):
         assert "".join(pieces[i] for i in ids) == u
         assert np.isclose(sum(scores[i] for i in ids), best(u))
+    words = spark.createDataFrame([(u,) for u in {*units, "abcz"}], "word string")
+    table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(zip(pieces, scores, strict=True))], "piece string, id long, score double")
+    rows = {r["word"]: r["ids"] for r in sl.viterbi_words(words, table, 3).collect()}
+    assert rows["abcz"] is None
+    for u in units:
+        assert "".join(pieces[i] for i in rows[u]) == u and np.isclose(sum(scores[i] for i in rows[u]), best(u))
