@@ -3,13 +3,15 @@
 1. Every text becomes its set of shingle hashes; equal sets form a class, and everything below is about classes.
    A sketch of fixed size estimates how frequent each shingle is, and orders shingles from rare to frequent.
    Any order is right; this one keeps common passages out of the prefixes.
-2. Two linked sets share a shingle among the first n - ceil(0.75 n) + 1 of each in that order.  Those prefixes go
+2. Two linked sets share shingles among the first n - ceil(0.75 n) + 1 of each in that order.  Those prefixes go
    to index lists.  A short list is joined by itself, where blocks of sizes and positions that can't reach the
-   overlap needed are skipped.  In a long list every set is compared with one pivot only.
-3. Links found so give components.  Two sets of one long list that are still apart are related through their
-   pivot: their overlaps with it bound, from both sides, the overlap of the two (answers derived from a similar
-   set's answers).  Most pairs are decided by those bounds; the others are compared.
-4. Components again, over all links.
+   overlap needed are skipped; a long list joins every set with one pivot.  Pairs whose prefixes can't share as
+   many shingles as linked sets' must are dropped.
+3. Every set is compared with its likeliest partner, and links give components.  Of the other pairs only those
+   that are still apart are compared.
+4. Two sets of one long list that are still apart are related through their pivot: their overlaps with it bound,
+   from both sides, the overlap of the two (answers derived from a similar set's answers).  What the bounds leave
+   open, an index over the list's sets answers.  Components again, over all links.
 
 Nothing is sampled or capped: a pair is left out only if a bound excludes it or both sets are in one component
 already.  Sets are compared by 48 bits of each shingle hash.
@@ -38,7 +40,9 @@ PART, WHOLE = 75, 100
 CELL_BITS, MAP_BITS = 20, 25
 _SLICE_BITS = 4
 #: Longest list that is joined by itself.
-SHORT_LIST = 6
+SHORT_LIST = 8
+#: Shingles by which counts may fall short, should two of a set share their 38 bits in the index.
+SLACK = 2
 #: Members of a pivot that one task relates.
 ROWS_PER_PIVOT = 20_000
 
@@ -104,7 +108,7 @@ def _levels(profile: DataFrame) -> bytes:
     """One byte a cell: how frequent its shingles are, in quarters of powers of two."""
     width = 1 << (CELL_BITS - _SLICE_BITS)
     whole = bytearray(1 << CELL_BITS)
-    for r in profile.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary").toLocalIterator():
+    for r in profile.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary").collect():
         whole[r["part"] * width : (r["part"] + 1) * width] = r["counts"]
     return bytes(whole)
 
@@ -150,44 +154,177 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return -(-(PART * (na + nb)) // (PART + WHOLE))
 
 
-def _candidates(key, table):
-    """Pairs of classes from a partition's index lists: all that sizes and positions allow in short lists, all with the pivot in long ones."""
-    cids, sizes, tokens, places = [], [], [], []
-    for data in table.column("payload").to_pylist():
-        c, n, k, t, p = _unpack(data, _TYPES)
-        cids.append(np.repeat(c, k))
-        sizes.append(np.repeat(n, k))
-        tokens.append(t)
-        places.append(p)
-    c, n, t, p = np.concatenate(cids), np.concatenate(sizes).astype(np.int64), np.concatenate(tokens), np.concatenate(places).astype(np.int64)
-    order = np.lexsort((c, t))
-    c, n, t, p = c[order], n[order], t[order], p[order]
-    keep = np.ones(len(c), dtype=bool)
-    keep[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-    c, n, t, p = c[keep], n[keep], t[keep], p[keep]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]])
-    length = np.diff(edges)
-    size_of = np.repeat(length, length)
-    head = np.repeat(edges[:-1], length)
-    found = []
-    for gap in range(1, SHORT_LIST):
-        i = np.flatnonzero((size_of[:-gap] <= SHORT_LIST) & (head[gap:] == head[:-gap])) if len(c) > gap else np.zeros(0, dtype=np.int64)
-        j = i + gap
-        least = needed(n[i], n[j])
-        # What the two can share: as much as lies before the shingle in either, and as much as lies from it on.
-        fits = (np.minimum(n[i], n[j]) >= least) & (np.minimum(p[i], p[j]) + np.minimum(n[i] - p[i], n[j] - p[j]) >= least)
-        found.append((i[fits], j[fits], 0))
-    long = np.flatnonzero((size_of > SHORT_LIST) & (head != np.arange(len(c))))
-    found.append((head[long], long, 1))
-    a = np.concatenate([i for i, _, _ in found]).astype(np.int64)
-    b = np.concatenate([j for _, j, _ in found]).astype(np.int64)
-    star = np.concatenate([np.full(len(i), s) for i, _, s in found])
-    order = np.lexsort((-star, c[b], c[a]))
-    a, b, star = a[order], b[order], star[order]
-    first = np.ones(len(a), dtype=bool)
-    first[1:] = (c[a][1:] != c[a][:-1]) | (c[b][1:] != c[b][:-1])
-    a, b, star = a[first], b[first], star[first]
-    return pa.table({"a": pa.array(c[a], pa.int64()), "b": pa.array(c[b], pa.int64()), "na": pa.array(n[a], pa.int64()), "nb": pa.array(n[b], pa.int64()), "star": pa.array(star, pa.int32())})
+def needed_in_prefixes(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Least number of shingles that the prefixes of two linked sets share.
+
+    At most n - overlap of a set's prefix are missing from the other set, and of the two prefixes' shared shingles
+    all in the one that ends first in the order are in the other prefix too.
+    """
+    overlap = needed(na, nb)
+    return overlap + 1 + np.minimum(-PART * na // WHOLE, -PART * nb // WHOLE)
+
+
+_PAIR_TYPES = ("<i8", "<i8", "<u4", "<u4", "<u4", "<u4")
+
+
+def _by_part(part_of: np.ndarray, parts: int, columns: list[np.ndarray], types: tuple[str, ...]) -> tuple[list[int], list[bytes]]:
+    """Rows of the columns as one packed row for each partition of ``part_of``'s ids."""
+    part = _part(part_of, parts)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    ids = np.flatnonzero(np.diff(edges)).tolist()
+    return ids, [_pack(*(np.ascontiguousarray(c[order[edges[i] : edges[i + 1]]].astype(t)) for c, t in zip(columns, types, strict=True))) for i in ids]
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((ids.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _index_lists(parts: int):
+    """Per index partition: pairs of classes with the number of shingles they were met by, packed by the later class.
+
+    Short lists give all pairs that sizes and positions allow, long ones each member with the list's least class.
+    A pair (b, b) carries the number of long lists that b is in.
+    """
+
+    def run(key, table):
+        cids, sizes, tokens, places = [], [], [], []
+        for data in table.column("payload").to_pylist():
+            c, n, k, t, p = _unpack(data, _TYPES)
+            cids.append(np.repeat(c, k))
+            sizes.append(np.repeat(n, k))
+            tokens.append(t)
+            places.append(p)
+        c, n, t, p = np.concatenate(cids), np.concatenate(sizes).astype(np.int64), np.concatenate(tokens), np.concatenate(places).astype(np.int64)
+        order = np.lexsort((c, t))
+        c, n, t, p = c[order], n[order], t[order], p[order]
+        keep = np.ones(len(c), dtype=bool)
+        keep[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        c, n, t, p = c[keep], n[keep], t[keep], p[keep]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]])
+        length = np.diff(edges)
+        size_of = np.repeat(length, length)
+        head = np.repeat(edges[:-1], length)
+        found = []
+        for gap in range(1, SHORT_LIST):
+            i = np.flatnonzero((size_of[:-gap] <= SHORT_LIST) & (head[gap:] == head[:-gap])) if len(c) > gap else np.zeros(0, dtype=np.int64)
+            j = i + gap
+            least = needed(n[i], n[j])
+            # What the two can share: as much as lies before the shingle in either, and as much as lies from it on.
+            fits = (np.minimum(n[i], n[j]) >= least) & (np.minimum(p[i], p[j]) + np.minimum(n[i] - p[i], n[j] - p[j]) >= least)
+            found.append((i[fits], j[fits], 0))
+        long = np.flatnonzero(size_of > SHORT_LIST)
+        found.append((head[long], long, 1))
+        found.append((long, long, 1))
+        i, j = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 1))
+        star = np.concatenate([np.full(len(x[0]), x[2]) for x in found])
+        a, b, na, nb = c[i], c[j], n[i], n[j]
+        order = np.lexsort((a, b))
+        a, b, na, nb, star = (x[order] for x in (a, b, na, nb, star))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, dtype=np.int64)
+        times = np.diff(np.concatenate([first, [len(a)]])) if len(a) else first
+        star = np.maximum.reduceat(star, first) if len(a) else star
+        ids, payload = _by_part(b[first], parts, [a[first], b[first], na[first], nb[first], star, times], _PAIR_TYPES)
+        return pa.table({"part": pa.array(ids, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    return run
+
+
+_CANDIDATES = "kind int, a bigint, b bigint, na bigint, nb bigint, star int, part int, payload binary"
+
+
+def _candidates(parts: int):
+    """All pairs of a partition's later classes that can be linked: the likeliest of each class as a row (kind 1), the rest packed by the earlier class (kind 0)."""
+
+    def run(key, table):
+        columns = [np.concatenate(x) for x in zip(*(_unpack(d, _PAIR_TYPES) for d in table.column("payload").to_pylist()), strict=True)]
+        a, b = columns[0], columns[1]
+        na, nb, star, times = (x.astype(np.int64) for x in columns[2:])
+        order = np.lexsort((a, b))
+        a, b, na, nb, star, times = (x[order] for x in (a, b, na, nb, star, times))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        star, times = np.maximum.reduceat(star, first), np.add.reduceat(times, first)
+        a, b, na, nb = a[first], b[first], na[first], nb[first]
+        # Shingles that a pair may share unseen lie in long lists of the later class.
+        own = a == b
+        lists_of = np.zeros(len(b), dtype=np.int64)
+        group = np.cumsum(np.concatenate([[True], b[1:] != b[:-1]])) - 1
+        unseen = np.bincount(group[own], times[own], minlength=group[-1] + 1).astype(np.int64)
+        lists_of = unseen[group]
+        possible = ~own & (np.minimum(na, nb) >= needed(na, nb)) & (times + lists_of + SLACK >= needed_in_prefixes(na, nb))
+        # Members of long lists stay for relating them, whether or not the pivot itself can be linked to them.
+        keep = np.flatnonzero(~own & (possible | (star == 1)))
+        a, b, na, nb, star, times, possible, group = (x[keep] for x in (a, b, na, nb, star, times, possible, group))
+        rank = np.lexsort((a, -times, ~possible, group))
+        best = np.zeros(len(a), dtype=bool)
+        if len(rank):
+            best[rank[np.concatenate([[True], np.diff(group[rank]) != 0])]] = True
+        best &= possible
+        flags = star + 2 * best + 4 * possible
+        ids, payload = _by_part(a, parts, [a, b, na, nb, flags, times], _PAIR_TYPES)
+        m, k = int(best.sum()), len(ids)
+        rows = {"kind": [1] * m + [0] * k}
+        for name, x in (("a", a), ("b", b), ("na", na), ("nb", nb), ("star", star)):
+            rows[name] = [*x[best].tolist(), *[None] * k]
+        rows |= {"part": [None] * m + ids, "payload": [None] * m + payload}
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(rows.items(), types, strict=True)})
+
+    return run
+
+
+def _unpacked(table) -> list[np.ndarray]:
+    parts = [_unpack(d, _PAIR_TYPES) for d in table.column("payload").to_pylist()]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, dtype=t) for t in _PAIR_TYPES]
+
+
+def _roots_of(ids: np.ndarray, table) -> np.ndarray:
+    """Root of each id; an id without one is its own."""
+    node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+    order = np.argsort(node)
+    node, root = node[order], root[order]
+    if not len(node):
+        return ids
+    at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+    return np.where(node[at] == ids, root[at], ids)
+
+
+def _apart(packed: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """Candidate pairs, not yet compared, whose classes have different roots: looked up packed, first for a, then for b."""
+    types = (*_PAIR_TYPES[:5], "<i8")
+
+    def first(key, left, right):
+        a, b, na, nb, flags, _ = _unpacked(left)
+        live = (flags & 6) == 4
+        a, b, na, nb, flags = (x[live] for x in (a, b, na, nb, flags))
+        ids, payload = _by_part(b, parts, [a, b, na, nb, flags, _roots_of(a, right)], types)
+        return pa.table({"part": pa.array(ids, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def second(key, left, right):
+        got = [_unpack(d, types) for d in left.column("payload").to_pylist()]
+        a, b, na, nb, flags, home = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, dtype=t) for t in types]
+        cross = home != _roots_of(b, right)
+        return pa.table({n: pa.array(x[cross], t) for n, x, t in (("a", a, pa.int64()), ("b", b, pa.int64()), ("na", na, pa.int64()), ("nb", nb, pa.int64()), ("star", flags & 1, pa.int32()))})
+
+    by_part = _with_part(roots, "node", parts)
+    carried = packed.groupBy("part").cogroup(by_part.groupBy("part")).applyInArrow(first, "part int, payload binary")
+    return carried.groupBy("part").cogroup(by_part.groupBy("part")).applyInArrow(second, "a bigint, b bigint, na bigint, nb bigint, star int")
+
+
+def _with_part(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """The partition that _part gives, by a column of 64-bit ids."""
+    return df.withColumn("part", F.pmod(F.shiftrightunsigned(F.col(column), 20), F.lit(parts)).cast("int"))
+
+
+def _members(packed: DataFrame, pivots: DataFrame, parts: int) -> DataFrame:
+    """All members of long lists with these pivots (a)."""
+
+    def run(key, left, right):
+        a, b, na, nb, flags, _ = _unpacked(left)
+        live = ((flags & 1) == 1) & np.isin(a, right.column("a").to_numpy())
+        return pa.table({n: pa.array(x[live], t) for n, x, t in (("a", a, pa.int64()), ("b", b, pa.int64()), ("na", na, pa.int64()), ("nb", nb, pa.int64()), ("star", flags & 1, pa.int32()))})
+
+    return packed.groupBy("part").cogroup(_with_part(pivots.select("a"), "a", parts).groupBy("part")).applyInArrow(run, "a bigint, b bigint, na bigint, nb bigint, star int")
 
 
 def _bitmap(ids: DataFrame) -> bytes:
@@ -212,7 +349,7 @@ def _bitmap(ids: DataFrame) -> bytes:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     whole = bytearray(1 << (MAP_BITS - 3))
-    for r in ids.mapInArrow(put, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").toLocalIterator():
+    for r in ids.mapInArrow(put, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
         whole[r["part"] * width : (r["part"] + 1) * width] = r["bits"]
     return bytes(whole)
 
@@ -263,8 +400,15 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.int64())], names=[*names, "o"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+def _sets_of(text: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cid, s): sets of these classes, and of a few others, made from the texts again."""
+    mapped = text.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    return text.mapInArrow(_chosen_sets(mapped), "cid bigint, s binary").groupBy("cid").agg(F.first("s").alias("s"))
+
+
+def _compare(text: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """Pairs with the size of their overlap, o."""
+    sets = _sets_of(text, pairs.select(F.explode(F.array("a", "b")).alias("cid")))
     left = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "star", "sa", "sb")
@@ -276,77 +420,95 @@ def _linked(compared: DataFrame) -> DataFrame:
 
 
 def _relate(key, table):
-    """Pairs of a pivot's members in different components: linked by bounds (kind 1) or to be compared (kind 0).
+    """Links that join components among a pivot's members.
 
     For members x and y with overlaps ox and oy with a pivot of size np, the overlap of x and y is at least
-    ox + oy - np and at most min(ox, oy) + min(nx - ox, ny - oy).
+    ox + oy - np and at most min(ox, oy) + min(nx - ox, ny - oy).  What the bounds leave open an index of the
+    members' shingles answers, for one member against all others at a time.  Members that a link has joined are not
+    related any further.
     """
-    x, n, o, root = (table.column(c).to_numpy() for c in ("b", "nb", "o", "root"))
+    x, n, code = (table.column(c).to_numpy().copy() for c in ("b", "n", "root"))
     inside = table.column("inside").to_numpy(zero_copy_only=False)
-    pivot = int(table.column("na")[0].as_py())
-    salt = key[1].as_py()
-    outs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in np.flatnonzero(~inside):
+    pivot, salt, m = key[0].as_py(), key[1].as_py(), len(x)
+    sets = [_from_six(d) for d in table.column("s").to_pylist()]
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(m), [len(s) for s in sets])[order]
+
+    def overlaps(i: int) -> np.ndarray:
+        lo, hi = np.searchsorted(tokens, sets[i], side="left"), np.searchsorted(tokens, sets[i], side="right")
+        many = hi - lo
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return np.bincount(owner[at], minlength=m)
+
+    centre = int(np.flatnonzero(x == pivot)[0])
+    o, size = overlaps(centre), int(n[centre])
+    links: list[tuple[int, int]] = []
+
+    def join(i: int, others: np.ndarray) -> None:
+        for j in others[np.unique(code[others], return_index=True)[1]].tolist():
+            links.append((int(x[i]), int(x[j])))
+            code[code == code[j]] = code[i]
+
+    for i in np.flatnonzero(~inside).tolist():
         # Against the members of the pivot's component here, and once (in the first part) against later outsiders.
-        others = np.flatnonzero(inside | ((np.arange(len(x)) > i) & (salt == 0) & ~inside))
-        others = others[root[others] != root[i]]
+        others = np.flatnonzero((inside | ((np.arange(m) > i) & (salt == 0))) & (code != code[i]))
         least = needed(n[i], n[others])
         high = np.minimum(o[i], o[others]) + np.minimum(n[i] - o[i], n[others] - o[others])
-        low = o[i] + o[others] - pivot
-        open_ = (high >= least) & (np.minimum(n[i], n[others]) >= least)
-        sure = open_ & (low >= least)
-        # One sure link joins two components; the rest of that pair of components needs no comparing.
-        joined, at = np.unique(root[others[sure]], return_index=True)
-        outs.append((np.full(len(at), i), others[sure][at], np.ones(len(at), dtype=np.int32)))
-        rest = others[open_ & ~np.isin(root[others], joined)]
-        outs.append((np.full(len(rest), i), rest, np.zeros(len(rest), dtype=np.int32)))
-    i = np.concatenate([a for a, _, _ in outs] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    j = np.concatenate([b for _, b, _ in outs] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    kind = np.concatenate([k for _, _, k in outs] or [np.zeros(0, dtype=np.int32)]).astype(np.int32)
-    swap = x[i] > x[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return pa.table({"a": pa.array(x[i], pa.int64()), "b": pa.array(x[j], pa.int64()), "na": pa.array(n[i], pa.int64()), "nb": pa.array(n[j], pa.int64()), "kind": pa.array(kind)})
-
-
-def _still_apart(compared: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Pairs within pivots' members that components leave apart, as _relate gives them; None if there are none."""
-    stars = compared.where("star = 1").select("a", "b", "na", "nb", "o")
-    rooted = stars.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    rooted = rooted.join(roots.select(F.col("node").alias("a"), F.col("root").alias("home")), "a", "left").withColumn("home", F.coalesce("home", "a"))
-    rooted = materialise(rooted, "stars")
-    # A pivot whose members are all in one component needs nothing more.
-    mixed = rooted.groupBy("a").agg(F.count("*").alias("members"), F.min(F.col("root") != F.col("home")).alias("all_out"), F.max(F.col("root") != F.col("home")).alias("some_out"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = mixed.where("some_out and r0 <> r1").select("a", F.ceil(F.col("members") / ROWS_PER_PIVOT).cast("int").alias("salts"))
-    kept = rooted.join(mixed, "a")
-    inside = F.col("root") == F.col("home")
-    own = F.array(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    salted = kept.withColumn("inside", inside).withColumn("salt", F.explode(F.when(inside, own).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
-    related = salted.groupBy("a", "salt").applyInArrow(_relate, "a bigint, b bigint, na bigint, nb bigint, kind int")
-    related = materialise(related.groupBy("a", "b").agg(F.max("kind").alias("kind"), F.max("na").alias("na"), F.max("nb").alias("nb")), "related")
-    return None if related.isEmpty() else related
+        others, least = others[(high >= least) & (np.minimum(n[i], n[others]) >= least)], least[(high >= least) & (np.minimum(n[i], n[others]) >= least)]
+        join(i, others[o[i] + o[others] - size >= least])
+        apart = code[others] != code[i]
+        if apart.any():
+            others, least = others[apart], least[apart]
+            join(i, others[overlaps(i)[others] >= least])
+    u, v = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _links_of_pivots(text: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links among the members (a, b, na, nb) of pivots a whose members are in several components."""
+    own = members.groupBy("a").agg(F.count("*").alias("members"), F.max("na").alias("n"))
+    salts = own.select("a", F.ceil(F.col("members") / ROWS_PER_PIVOT).cast("int").alias("salts"))
+    every = members.select("a", "b", F.col("nb").alias("n")).unionByName(own.select("a", F.col("a").alias("b"), "n"))
+    rooted = _rooted(every, roots).join(salts, "a").withColumn("inside", F.col("root") == F.col("home"))
+    here = F.when(F.col("inside") & (F.col("a") != F.col("b")), F.array(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    placed = materialise(rooted.withColumn("salt", F.explode(here)).select("a", "b", "n", "root", "inside", "salt"), "members")
+    met = placed.join(_sets_of(text, placed.select(F.col("b").alias("cid"))).withColumnRenamed("cid", "b"), "b")
+    return materialise(met.groupBy("a", "salt").applyInArrow(_relate, "u bigint, v bigint").distinct(), "links")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs with ``home``, the root of a, and ``root``, that of b."""
+    pairs = pairs.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    return pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("home")), "a", "left").withColumn("home", F.coalesce("home", "a"))
 
 
 def linked_classes(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """(node, root) of classes that have links to other classes."""
-    spark = docs.sparkSession
     digits = buckets_for(docs)
+    parts = 1 << digits
     text = docs.select("text")
-    levels = spark.sparkContext.broadcast(_levels(profile))
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(profile))
     sent = text.mapInArrow(_prefix_rows(digits, levels), "bucket int, payload binary")
-    found = sent.groupBy("bucket").applyInArrow(_candidates, "a bigint, b bigint, na bigint, nb bigint, star int")
-    pairs = materialise(found.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("star").alias("star")), "pairs")
-    mapped = spark.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cid"))))
-    sets = materialise(text.mapInArrow(_chosen_sets(mapped), "cid bigint, s binary").groupBy("cid").agg(F.first("s").alias("s")), "sets")
-    compared = _compare(pairs, sets, "compared")
+    met = sent.groupBy("bucket").applyInArrow(_index_lists(parts), "part int, payload binary")
+    found = materialise(met.groupBy("part").applyInArrow(_candidates(parts), _CANDIDATES), "candidates")
+    packed = found.where("kind = 0").select("part", "payload")
+    # The likeliest partner of each class first: that alone joins most of a group of near copies.
+    compared = _compare(text, found.where("kind = 1").select("a", "b", "na", "nb", "star"), "compared")
     links = _linked(compared)
     roots = materialise(components(links), "roots")
-    apart = _still_apart(compared, roots)
-    if apart is None:
+    rest = materialise(_apart(packed, roots, parts), "pairs")
+    if not rest.isEmpty():
+        compared = compared.unionByName(_compare(text, rest, "compared"))
+        links = _linked(compared)
+        roots = materialise(components(links), "roots")
+    # Long lists whose pivot is still apart from one of its members: their members are related to each other.
+    stars = _rooted(compared.where("star = 1"), roots)
+    pivots = materialise(stars.where("root <> home").select("a").distinct(), "pivots")
+    if pivots.isEmpty():
         return roots
-    more = _compare(apart.where("kind = 0").select("a", "b", "na", "nb", F.lit(0).alias("star")), sets, "compared")
-    sure = apart.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    again = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return materialise(components(again.unionByName(_linked(more)).unionByName(sure)), "roots")
+    more = _links_of_pivots(text, _members(packed, pivots, parts), roots)
+    return roots if more.isEmpty() else materialise(components(links.unionByName(more)), "roots")
 
 
 def document_components(docs: DataFrame) -> DataFrame:
