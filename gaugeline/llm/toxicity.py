@@ -5,8 +5,8 @@ punctuation and obfuscation.  The lexicon is a short list of English words plus
 half of the fitting sample uses far more often where the label is set; the trees learn from the other half, and
 the calibration from margins of trees that have not seen the row.  A sample with few positives serves all three.
 
-Defined cases: a null or empty text is scored by its (zero) features; a table without usable labels gives the
-base rate of no positives, predicted 0 unless the short list speaks; repeated rows are scored alike; the score
+Defined cases: a null or empty text is scored by its (zero) features; with fewer than five usable labels of
+either class a text is toxic if one word in a hundred is in the lexicon; repeated rows are scored alike; the score
 depends on the text alone.
 """
 
@@ -33,6 +33,8 @@ LOOKALIKES = str.maketrans("013457@$!*", "oieastasi*")
 STEMS = (4, 5, 6, 7)
 NEAR = 6
 LEXICON_SIZE = 3000
+#: Rows of either class below which there is nothing to learn from.
+LEAST_OF_CLASS = 5
 NAMES = (
     "log_words word_hits log_word_hits distinct_hits stem_hits log_stem_hits top_weight mean_weight second_person second_near_hit "
     "capitals shouted exclamations questions other_marks obfuscated unmasked_hits stretched digits word_length"
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_R
     x = np.array([r["x"] for r in held]).reshape(len(held), len(NAMES))
     y, fold = np.array([r["y"] for r in held], dtype=float), np.array([r["fold"] for r in held])
     trees = fit_trees(x, y)
-    if not len(y) or y.max() == 0:
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST_OF_CLASS:
         return Model(lexicon, trees, _by_hand(trees))
     unseen = np.concatenate([fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k]) for k in range(3)])
     return Model(lexicon, trees, fit_isotonic(unseen, np.concatenate([y[fold == k] for k in range(3)])))
@@ -201,7 +203,7 @@ def _featured(sample: DataFrame, lexicon: Lexicon):
 
 
 def _by_hand(trees: Trees) -> tuple[np.ndarray, np.ndarray]:
-    """Without a positive label: any dense use of the short list counts as toxic, as one tree says."""
+    """With hardly a label to learn from: dense use of the lexicon counts as toxic, as one tree says."""
     j = NAMES.index("word_hits")
     inner = 2**trees.depth - 1
     trees.feature, trees.threshold = [np.full(inner, j)], [np.full(inner, 0.01)]
