@@ -219,6 +219,13 @@ def pii_observations_words(spark, sf_dir):
     return profile.pii_observations(word_cells(spark, sf_dir)).select("observations", "too_many")
 
 
+@query("pii_observations_profile", f"SELECT count(*) AS observations, count(*) > 1000 AS too_many FROM (SELECT {PII_SQL} AS type FROM ({WORDS_SQL})) WHERE type IS NOT NULL")
+def pii_observations_profile(spark, sf_dir):
+    """The same from the counters of a profile, which needs no pass of its own."""
+    cells = word_cells(spark, sf_dir).withColumn("pii", f.pii_type(F.col("value")))
+    return profile.observations_of(cells.groupBy("pos").agg(*profile.pii_counts())).select("observations", "too_many")
+
+
 @query("pii_observations_samples", f"SELECT sum(n) AS observations, string_agg(type || ':' || pos || ':' || n, ',' ORDER BY type, pos) AS found FROM (SELECT type, 0 AS pos, count(*) AS n FROM (SELECT {PII_SQL} AS type FROM ({SAMPLE_SQL})) WHERE type IS NOT NULL GROUP BY type)")
 def pii_observations_samples(spark, sf_dir):
     seen = profile.pii_observations(sample_values(spark).select(F.lit(0).alias("pos"), "value"))

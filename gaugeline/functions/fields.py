@@ -38,14 +38,20 @@ def is_boolean(v: Column) -> Column:
     return v.rlike(BOOLEAN)
 
 
+def _may_be_number(v: Column) -> Column:
+    """A look at the first character, which spares most text the patterns."""
+    return F.substring(v, 1, 1).isin(*"0123456789+-")
+
+
 def numeric_kind(v: Column) -> Column:
     """'integral', 'real' or null.  No digit before the radix point, or a capital exponent, is no number."""
-    return F.when(v.rlike(INTEGRAL), F.lit("integral")).when(v.rlike(REAL), F.lit("real"))
+    may = _may_be_number(v)
+    return F.when(may & v.rlike(INTEGRAL), F.lit("integral")).when(may & v.rlike(REAL), F.lit("real"))
 
 
 def numeric_value(v: Column) -> Column:
     """The number of a field that looks numeric, as a double; null for anything else ('NaN', '1d' and the like)."""
-    return F.when(v.rlike(INTEGRAL) | v.rlike(REAL), v.try_cast("double"))
+    return F.when(_may_be_number(v) & (v.rlike(INTEGRAL) | v.rlike(REAL)), v.try_cast("double"))
 
 
 def is_date(v: Column) -> Column:
@@ -55,11 +61,12 @@ def is_date(v: Column) -> Column:
 
 def looks(v: Column) -> Column:
     """What a field looks like; a null counts as empty."""
+    may = _may_be_number(v)
     return (
         F.when(v.isNull() | (v == ""), F.lit("looks-empty"))
-        .when(is_boolean(v), F.lit("looks-boolean"))
-        .when(v.rlike(INTEGRAL), F.lit("looks-integral"))
-        .when(v.rlike(REAL), F.lit("looks-real"))
+        .when(may & v.rlike(INTEGRAL), F.lit("looks-integral"))
+        .when(may & v.rlike(REAL), F.lit("looks-real"))
+        .when((F.octet_length(v) <= 5) & is_boolean(v), F.lit("looks-boolean"))
         .otherwise(F.lit("looks-text"))
     )
 

@@ -95,6 +95,19 @@ def pii_observations(cells: DataFrame, most: int = MAX_PII) -> DataFrame:
     return listed.select("observations", (F.col("observations") > most).alias("too_many"), F.when(F.col("observations") <= most, F.col("found")).alias("found"))
 
 
+def pii_counts() -> list[Column]:
+    """Counters of the kinds of personal data, from a column ``pii``: the observations of a profile without a pass of their own."""
+    return [F.count_if(F.col("pii") == k).alias(f"pii_{k}") for k in f.PII_NAMES]
+
+
+def observations_of(profiled: DataFrame, most: int = MAX_PII) -> DataFrame:
+    """The row of ``pii_observations`` from a profile with the counters of ``pii_counts``."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.col("pos").cast("int").alias("pos"), F.col(f"pii_{k}").cast("bigint").alias("n")) for k in f.PII_NAMES])
+    found = profiled.select(F.explode(F.filter(kinds, lambda x: x["n"] > 0)).alias("x"))
+    listed = found.agg(F.coalesce(F.sum("x.n"), F.lit(0)).alias("observations"), F.array_sort(F.collect_list("x")).alias("found"))
+    return listed.select("observations", (F.col("observations") > most).alias("too_many"), F.when(F.col("observations") <= most, F.col("found")).alias("found"))
+
+
 def pii_by_field(cells: DataFrame) -> DataFrame:
     """(pos, type, n): potential personal data by field and kind."""
     return cells.select("pos", f.pii_type(F.col("value")).alias("type")).where("type is not null").groupBy("pos", "type").agg(F.count("*").alias("n"))

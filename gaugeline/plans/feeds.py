@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugeline.functions import fields as f
@@ -91,38 +90,39 @@ def sanity(spark: SparkSession, files: list[views.ViewFile], params: CheckParams
 
 
 def profile_rows(rows: DataFrame, params: CheckParams, schema: list[sch.SchemaField] | None = None) -> tuple[list[str], dict[str, Any]]:
-    """Failures and the counts of a marker.  The rows are kept on disk and in memory for the aggregations that read them."""
+    """Failures and the counts of a marker.
+
+    The rows are read once for their widths, once for all fields' looks, numbers and personal data, and once or twice
+    for distinct counts (and for samples).  Nothing is cached: at scale a second read costs less than keeping parsed rows.
+    """
     spark = rows.sparkSession
-    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        summary = profile.row_summary(kept)
-        (s,) = summary.collect()
-        width = min(s["field_counts"]) if s["field_counts"] else 0
-        cells = profile.exploded(kept, width)
-        by_field = profile.annotated(cells).groupBy("pos").agg(*profile.look_counts(), *profile.numeric_stats()).orderBy("pos").collect()
-        forms = {r["pos"]: r for r in profile.distinct_hashes(cells, params.freeform_threshold).collect()}
-        samples = {}
-        if params.reservoir_size is not None:
-            # Rows are told apart by their content: a draw that depends on neither partitions nor file order.
-            drawn = profile.reservoir(profile.with_row_key(kept, ["fields"]).where(F.col("pos") < width), params.reservoir_size)
-            samples = {r["pos"]: r for r in drawn.select("pos", "sample", profile.sample_median(F.col("sample")).alias("median")).collect()}
-        static_summary = spark.createDataFrame([s], summary.schema)
-        failures = []
-        if schema is not None:
-            # A few rows each, all bounded by the width of a record.
-            wanted = sch.schema_frame(spark, schema)
-            wrong = checks.width_failures(static_summary, wanted)
-            if wrong.isEmpty():
-                short = [x.removeprefix("looks-") for x in f.LOOKS]
-                looks = spark.createDataFrame([(r["pos"], *(r[x] for x in short)) for r in by_field], "pos int, " + ", ".join(f"`{x}` bigint" for x in short))
-                wrong = checks.type_failures(looks, wanted)
-            kinds = spark.createDataFrame([(p, r["form"], r["uniques"]) for p, r in forms.items()], "pos int, form string, uniques bigint")
-            failures += _details(wrong.unionByName(checks.form_failures(kinds, wanted)))
-        failures += _details(checks.row_failures(static_summary))
-        if params.max_pii is not None:
-            failures += _details(checks.pii_failures(profile.pii_observations(cells, params.max_pii)))
-    finally:
-        kept.unpersist()
+    summary = profile.row_summary(rows)
+    (s,) = summary.collect()
+    width = min(s["field_counts"]) if s["field_counts"] else 0
+    cells = profile.exploded(rows, width)
+    pii = F.lit(None).cast("string") if params.max_pii is None else f.pii_type(F.col("value"))
+    by_position = profile.annotated(cells).withColumn("pii", pii).groupBy("pos").agg(*profile.look_counts(), *profile.numeric_stats(), *profile.pii_counts())
+    by_field = by_position.orderBy("pos").collect()
+    forms = {r["pos"]: r for r in profile.distinct_hashes(cells, params.freeform_threshold).collect()}
+    samples = {}
+    if params.reservoir_size is not None:
+        # Rows are told apart by their content: a draw that depends on neither partitions nor file order.
+        drawn = profile.reservoir(profile.with_row_key(rows, ["fields"]).where(F.col("pos") < width), params.reservoir_size)
+        samples = {r["pos"]: r for r in drawn.select("pos", "sample", profile.sample_median(F.col("sample")).alias("median")).collect()}
+    # From here on tables have one row, or one a field.
+    one = spark.createDataFrame([s], summary.schema)
+    fields_ = spark.createDataFrame(by_field, by_position.schema)
+    failures = []
+    if schema is not None:
+        wanted = sch.schema_frame(spark, schema)
+        wrong = checks.width_failures(one, wanted)
+        if wrong.isEmpty():
+            wrong = checks.type_failures(fields_, wanted)
+        kinds = spark.createDataFrame([(p, r["form"], r["uniques"]) for p, r in forms.items()], "pos int, form string, uniques bigint")
+        failures += _details(wrong.unionByName(checks.form_failures(kinds, wanted)))
+    failures += _details(checks.row_failures(one))
+    if params.max_pii is not None:
+        failures += _details(checks.pii_failures(profile.observations_of(fields_, params.max_pii)))
     counts: dict[str, Any] = {"bad-rows": s["bad_rows"], "total-rows": s["total_rows"], "field-counts": list(s["field_counts"])}
     if by_field:
         rank = {r["pos"]: r.asDict() | {"sample": samples[r["pos"]]["sample"] if r["pos"] in samples else None, "median": samples[r["pos"]]["median"] if r["pos"] in samples else None} for r in by_field}
