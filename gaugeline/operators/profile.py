@@ -68,11 +68,10 @@ def capped_distinct(cells: DataFrame, threshold: int = FREEFORM, slices: int = S
     hashed = cells.select("pos", f.text_hash(F.coalesce("value", F.lit(""))).alias("h"))
     one = hashed.where(F.pmod("h", F.lit(slices)) == 0).distinct().groupBy("pos").agg(F.count("*").alias("n"))
     free = one.where(F.col("n") >= threshold).select("pos", F.lit(True).alias("free"))
-    positions = hashed.select("pos").distinct()
-    # One row a field on the broadcast side: bounded by the width of a record.
+    # One row a field on the broadcast side: bounded by the width of a record.  The slice is scanned once, its exchange is reused.
     rest = hashed.join(F.broadcast(free), "pos", "left_anti").distinct().groupBy("pos").agg(F.count("*").alias("n"))
-    counted = positions.join(F.broadcast(rest), "pos", "left")
-    categorical = F.col("n") < threshold
+    counted = rest.unionByName(free.select("pos", F.lit(None).cast("bigint").alias("n")))
+    categorical = F.coalesce(F.col("n") < threshold, F.lit(False))
     return counted.select("pos", F.when(categorical, F.col("n")).alias("uniques"), F.when(categorical, F.lit("unique-text-count")).otherwise(F.lit("looks-freeform")).alias("form"))
 
 
