@@ -283,6 +283,20 @@ def _size(node: Node) -> int:
     return 0 if other_part(node, False) else max(0, len(own_text(node)) - node.link_chars) + sum(map(_size, node.nodes))
 
 
+def _named(root: Node) -> Node | None:
+    """The outermost block that a site names as its content, if it has half of the page's text."""
+    least = _size(root) / 2
+    todo = root.nodes
+    while todo:
+        node = todo.pop(0)
+        if other_part(node, False) or not _size(node):
+            continue
+        if node.names and MAIN_PARTS.search(node.names) and _size(node) >= least:
+            return node
+        todo += node.nodes
+    return None
+
+
 def _densest(root: Node) -> Node:
     """Without a template or an article: down as long as one child has most of the text."""
     node = root
@@ -339,7 +353,7 @@ def extract(html: str | None, template: Template | None = None) -> str:
         match(root, template.root, pairs)
         constant = {id(x) for x, r in pairs if r.id in template.constant and _text_key(x) == r.text}
         region = next((x for x, r in pairs if r.id == template.region), None)
-    region = region if region is not None and _size(region) else _densest(root)
+    region = _named(root) or (region if region is not None and _size(region) else _densest(root))
     return "\n".join(blocks_of(region, constant, False))
 
 

@@ -48,6 +48,11 @@ def test_template_counts(spark):
     assert t.region == t.root.nodes[1].id
 
 
+def test_named_content():
+    page = "<div id=wrap><div class=top>Site and a few words more</div><div class='post-content'><h2>T</h2><p>one two three four five six seven</p><div class=share>Share</div></div><p>After</p></div>"
+    assert hx.extract(page) == "T\none two three four five six seven"
+
+
 def exhaustive(a, b):
     if a.label != b.label:
         return 0
