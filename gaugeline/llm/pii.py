@@ -243,13 +243,17 @@ def score(c: Column, model: Model) -> Column:
 
 def decide(cands: Column, model: Model, least: float = 0.5) -> Column:
     """Base spans, and added ones of at least this score that overlap none of them; by kind as listed, then start."""
-    base = F.filter(cands, lambda c: c["base"])
-    # An added span needs someone to vouch for it: no vote in favour, no span, whatever the corpus is like.
-    extra = F.filter(cands, lambda c: ~c["base"] & F.exists(c["votes"], lambda v: v == 1) & (score(c, model) >= least))
-    extra = F.array_sort(extra, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
-    apart = let(base, lambda held: F.aggregate(extra, held, lambda acc, c: F.when(F.exists(acc, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])), acc).otherwise(F.concat(acc, F.array(c)))))
-    chosen = F.when(F.size(extra) == 0, base).otherwise(apart)
-    return F.flatten(F.array(*[F.array_sort(F.filter(chosen, _of(k)), lambda a, b: a["s"] - b["s"]) for k in KINDS]))
+
+    def chosen(c: Column) -> Column:
+        # An added span needs someone to vouch for it: no vote in favour, no span, whatever the corpus is like.
+        extra = F.filter(c, lambda x: ~x["base"] & F.exists(x["votes"], lambda v: v == 1) & (score(x, model) >= least))
+        ordered = F.array_sort(extra, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
+        clash = lambda held, x: F.exists(held, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+        return F.aggregate(ordered, F.filter(c, lambda x: x["base"]), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+
+    place = F.array(*map(F.lit, KINDS))
+    by_kind = lambda a, b: F.when(a["kind"] != b["kind"], F.array_position(place, a["kind"]) - F.array_position(place, b["kind"])).otherwise((a["s"] - b["s"]).cast("bigint")).cast("int")
+    return F.when(F.size(cands) == 0, cands).otherwise(F.array_sort(chosen(cands), by_kind))
 
 
 def render(spans: Column) -> Column:
@@ -273,6 +277,12 @@ def mask(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
+def masked(text: Column, model: Model) -> Column:
+    """The text without its personal data.  Candidates and spans are bound once: each names the one before many times."""
+    found = lambda c: F.when(F.size(c) == 0, text).otherwise(let(decide(c, model), lambda spans: mask(text, spans)))
+    return let(candidates(text), found)
+
+
 def digest(cands: Column, model: Model) -> list[Column]:
     """The contract's columns for a row with these candidates."""
     base = F.filter(cands, lambda c: c["base"])
