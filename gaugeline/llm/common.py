@@ -18,10 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: White space that separates words everywhere in this subpackage: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 NO_ID = -(2**63)
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 2000
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give executors this package, unless their environment has it: workers import what functions name."""
+    """Ready a session: batches of a size for texts, and this package on executors whose environment lacks it."""
+    if int(spark.conf.get(BATCH_ROWS)) > ROWS_PER_BATCH:
+        # Texts are long rows: Spark's default of 10,000 would put tens of MB into each batch on both sides.
+        spark.conf.set(BATCH_ROWS, str(ROWS_PER_BATCH))
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}

@@ -492,6 +492,7 @@ def linked_classes(docs: DataFrame, profile: DataFrame) -> DataFrame:
     sent = text.mapInArrow(_prefix_rows(digits, levels), "bucket int, payload binary")
     met = sent.groupBy("bucket").applyInArrow(_index_lists(parts), "part int, payload binary")
     found = materialise(met.groupBy("part").applyInArrow(_candidates(parts), _CANDIDATES), "candidates")
+    levels.unpersist()
     packed = found.where("kind = 0").select("part", "payload")
     # The likeliest partner of each class first: that alone joins most of a group of near copies.
     compared = _compare(text, found.where("kind = 1").select("a", "b", "na", "nb", "star"), "compared")

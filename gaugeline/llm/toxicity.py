@@ -50,10 +50,13 @@ class Lexicon:
     stems: dict[str, float]
 
 
+_NOTHING = (0.0, 0.0)
+
+
 class _Weights(dict):
     """Weight of a token, remembered; the memory is emptied when it has grown to a fixed size."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
@@ -64,7 +67,7 @@ class _Weights(dict):
         s = max((self.lexicon.stems.get(token[:n], 0.0) for n in STEMS if len(token) > n), default=0.0)
         if len(self) >= self.LIMIT:
             self.clear()
-        self[token] = (w, s)
+        self[token] = (w, s) if w or s else _NOTHING
         return self[token]
 
 

@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text per block: what one worker holds in arrays at once (a longer text is a block of its own).
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 800_000
 
 _MASK = (1 << 64) - 1
 _R, _Q = 0x9E3779B97F4A7C15 & ~0x7 | 0x5, 0xD1342543DE82EF95 & ~0x7 | 0x5  # odd, 5 modulo 8: powers have the longest period
@@ -103,14 +104,10 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = B
     """Slices of the batches with at most ``chars`` bytes of text each, and their texts as UTF-8; null is empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        lo, held = 0, []
-        size = 0
-        for i, value in enumerate(column.to_pylist()):
-            value = value or b""
-            if held and size + len(value) > chars:
-                yield batch.slice(lo, i - lo), held
-                lo, held, size = i, [], 0
-            held.append(value)
-            size += len(value)
-        if held:
-            yield batch.slice(lo, len(held)), held
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(batch):
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + chars, side="right")))
+            yield batch.slice(lo, hi - lo), [x or b"" for x in column.slice(lo, hi - lo).to_pylist()]
+            lo = hi
