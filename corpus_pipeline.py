@@ -31,8 +31,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data becomes its kind in brackets."""
     model = pii.fit(materialise(docs.select(pii.candidates(F.col("text")).alias("cands")), "pii"))
-    spans = pii.decide(pii.candidates(F.col("text")), model)
-    return _measured(docs.withColumn("text", pii.mask(F.col("text"), spans)), docs)
+    return _measured(docs.withColumn("text", pii.masked(F.col("text"), model)), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
