@@ -72,22 +72,22 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _raw(text: Column, pattern: str) -> Column:
-    """Matches with their places: array of (m, s, e).
+def _raw(text: Column, pattern: str, wanted=lambda m: F.lit(True)) -> Column:
+    """Wanted matches with their places: array of (m, s, e).
 
-    The pieces between matches and the matches alternate, so their running lengths are the places.
+    The pieces between matches and the matches alternate, so their running lengths are the places.  Only wanted
+    matches are gathered: a long text of numbers has many matches and few candidates.
     """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("g"), m.alias("m")))
     empty = F.array().cast("array<struct<m:string,s:int,e:int>>")
-    return F.aggregate(
-        F.filter(pairs, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["g"]).alias("s"), (acc["at"] + x["g"] + F.length(x["m"])).alias("e")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["g"]
+        end = start + F.length(x["m"])
+        one = F.array(F.struct(x["m"].alias("m"), start.alias("s"), end.alias("e")))
+        return F.struct(end.alias("at"), F.when(wanted(x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -148,7 +148,7 @@ def candidates(text: Column) -> Column:
 
     def base(kind: str) -> Column:
         found = F.transform(
-            F.filter(_raw(text, PATTERNS[kind]), lambda x: _considered(kind, x["m"])),
+            _raw(text, PATTERNS[kind], lambda m: _considered(kind, m)),
             lambda x: let(_valid(kind, x["m"]), lambda ok: _candidate(kind, text, x, ok, F.when(ok, 1).otherwise(-1))),
         )
         return F.when(quick[kind], found.cast(f"array<{SPAN}>")).otherwise(none)
