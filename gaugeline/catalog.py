@@ -226,7 +226,7 @@ def pii_observations_profile(spark, sf_dir):
     return profile.observations_of(cells.groupBy("pos").agg(*profile.pii_counts())).select("observations", "too_many")
 
 
-@query("pii_observations_samples", f"SELECT sum(n) AS observations, string_agg(type || ':' || pos || ':' || n, ',' ORDER BY type, pos) AS found FROM (SELECT type, 0 AS pos, count(*) AS n FROM (SELECT {PII_SQL} AS type FROM ({SAMPLE_SQL})) WHERE type IS NOT NULL GROUP BY type)")
+@query("pii_observations_samples", f"SELECT CAST(sum(n) AS BIGINT) AS observations, string_agg(type || ':' || pos || ':' || n, ',' ORDER BY type, pos) AS found FROM (SELECT type, 0 AS pos, count(*) AS n FROM (SELECT {PII_SQL} AS type FROM ({SAMPLE_SQL})) WHERE type IS NOT NULL GROUP BY type)")
 def pii_observations_samples(spark, sf_dir):
     seen = profile.pii_observations(sample_values(spark).select(F.lit(0).alias("pos"), "value"))
     return seen.select("observations", F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["type"], x["pos"].cast("string"), x["n"].cast("string"))), ",").alias("found"))
