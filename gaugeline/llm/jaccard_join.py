@@ -316,6 +316,31 @@ def _with_part(df: DataFrame, column: str, parts: int) -> DataFrame:
     return df.withColumn("part", F.pmod(F.shiftrightunsigned(F.col(column), 20), F.lit(parts)).cast("int"))
 
 
+def _pivots(packed: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """Pivots (a) of long lists whose members have different roots, whether or not a member was compared with the pivot."""
+
+    def by_member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, _, _, flags, _ = _unpacked(batch)
+            star = (flags & 1) == 1
+            ids, payload = _by_part(b[star], parts, [a[star], b[star]], ("<i8", "<i8"))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(ids, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def extremes(key, left, right):
+        got = [_unpack(d, ("<i8", "<i8")) for d in left.column("payload").to_pylist()]
+        a, b = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype="<i8"),) * 2
+        root = _roots_of(b, right)
+        order = np.lexsort((root, a))
+        a, root = a[order], root[order]
+        edge = np.flatnonzero(a[1:] != a[:-1])
+        low, high = (np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(a) - 1]])) if len(a) else (np.zeros(0, dtype=np.int64),) * 2
+        return pa.table({"a": pa.array(a[low], pa.int64()), "low": pa.array(root[low], pa.int64()), "high": pa.array(root[high], pa.int64())})
+
+    carried = packed.mapInArrow(by_member, "part int, payload binary")
+    found = carried.groupBy("part").cogroup(_with_part(roots, "node", parts).groupBy("part")).applyInArrow(extremes, "a bigint, low bigint, high bigint")
+    return found.groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("a")
+
+
 def _members(packed: DataFrame, pivots: DataFrame, parts: int) -> DataFrame:
     """All members of long lists with these pivots (a)."""
 
@@ -503,9 +528,8 @@ def linked_classes(docs: DataFrame, profile: DataFrame) -> DataFrame:
         compared = compared.unionByName(_compare(text, rest, "compared"))
         links = _linked(compared)
         roots = materialise(components(links), "roots")
-    # Long lists whose pivot is still apart from one of its members: their members are related to each other.
-    stars = _rooted(compared.where("star = 1"), roots)
-    pivots = materialise(stars.where("root <> home").select("a").distinct(), "pivots")
+    # Long lists whose members are still apart: they are related to each other.
+    pivots = materialise(_pivots(packed, roots, parts), "pivots")
     if pivots.isEmpty():
         return roots
     more = _links_of_pivots(text, _members(packed, pivots, parts), roots)

@@ -77,6 +77,22 @@ def test_against_all_pairs(spark):
         assert got == brute(docs)
 
 
+def test_copies_of_a_passage_that_longer_documents_hold(spark):
+    rnd = random.Random(5)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    common, texts = words(300), []
+    for _ in range(6):
+        passage = words(100)
+        for _ in range(12):
+            at = rnd.randrange(100)
+            texts.append(passage[:at] + words(1) + passage[at + 1 :])
+        # The passage is rarer than the rest of these, so it is in their prefixes too; none is like the passage alone.
+        texts += [passage + words(1) + common for _ in range(20)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in jj.document_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+    assert got == brute(docs)
+
+
 def test_cases(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jj.document_components(df).count() == 0
