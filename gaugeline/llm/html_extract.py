@@ -3,8 +3,9 @@
 Pages of one host are laid over a reference page of that host by simple tree matching: two nodes match if their
 labels agree and their children, in order, match as well as they can.  A reference node that has the same text on
 nearly all pages laid over it is template; places whose text varies are slots.  The template of a host is the
-reference's tree with counts from *all* of the host's pages, added up before they are shuffled, so a host with a third
-of all pages is no heavier than one with ten.  The slot region with the most varying text that isn't link
+reference's tree with counts from *all* of the host's pages, where pages of one content count once: copies of an
+article don't make it template.  Copies are dealt by content and counts added up before they are shuffled, so a host
+with a third of all pages is no heavier than one with ten.  The slot region with the most varying text that isn't link
 text is the host's main region; an explicit article element takes precedence, for its contents can be constant
 (copies of one article) without being template.
 
@@ -17,11 +18,13 @@ markup closes where its parent closes.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -354,7 +357,8 @@ def extract(html: str | None, template: Template | None = None) -> str:
         constant = {id(x) for x, r in pairs if r.id in template.constant and _text_key(x) == r.text}
         region = next((x for x, r in pairs if r.id == template.region), None)
     region = _named(root) or (region if region is not None and _size(region) else _densest(root))
-    return "\n".join(blocks_of(region, constant, False))
+    # A region that is constant as a whole is the page's text all the same.
+    return "\n".join(blocks_of(region, constant, False) or blocks_of(region, set(), False))
 
 
 def host_of(url: Column) -> Column:
@@ -380,35 +384,50 @@ def references(pages: DataFrame) -> DataFrame:
 
 
 def _overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, host and reference node: pages laid over it, pages with its text, characters of other texts."""
+    """Per batch, host and content: the reference nodes that a page is laid over, packed as (node, same, varying)."""
     for b in batches:
         trees: dict[str, Template] = {}
-        counts: dict[tuple[str, int], list[int]] = {}
+        found: dict[tuple[str, bytes], bytes] = {}
         for host, html, tree in zip(*(b.column(n).to_pylist() for n in ("host", "html", "tree")), strict=True):
             if not html or not tree:
                 continue
             t = trees.get(host)
             if t is None:
                 t = trees[host] = Template(tree)
+            root = parse(html)
             pairs: list[tuple[Node, Node]] = []
-            match(parse(html), t.root, pairs)
+            match(root, t.root, pairs)
+            rows = []
             for x, r in pairs:
-                c = counts.setdefault((host, r.id), [0, 0, 0])
+                same = _text_key(x) == r.text
+                rows.append((r.id, same, 0 if same else max(0, len(own_text(x)) - x.link_chars)))
+            key = host, hashlib.blake2b("\n".join(blocks_of(root, set(), False)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            laid = np.array(rows, dtype="<u4").tobytes()
+            found[key] = min(laid, found.get(key, laid))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary()), pa.array(list(found.values()), pa.binary())], names=["host", "content", "laid"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch, host and reference node: contents laid over it, contents with its text, characters of other texts."""
+    for b in batches:
+        counts: dict[tuple[str, int], list[int]] = {}
+        for host, laid in zip(b.column("host").to_pylist(), b.column("laid").to_pylist(), strict=True):
+            for node, same, varying in np.frombuffer(laid, dtype="<u4").reshape(-1, 3).tolist():
+                c = counts.setdefault((host, node), [0, 0, 0])
                 c[0] += 1
-                if _text_key(x) == r.text:
-                    c[1] += 1
-                else:
-                    c[2] += max(0, len(own_text(x)) - x.link_chars)
+                c[1] += same
+                c[2] += varying
         rows = [(h, i, *c) for (h, i), c in counts.items()]
         cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["host", "node", "pages", "same", "varying"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, tree, counts): the templates of all hosts, counted over all their pages."""
+    """(host, tree, counts): the templates of all hosts, counted over all contents of their pages."""
     refs = references(pages)
-    laid = _with_templates(pages.select("host", "html"), refs, ["tree"]).select("host", "html", "tree").mapInArrow(_overlay, "host string, node int, pages bigint, same bigint, varying bigint")
-    counted = laid.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.sum("varying").alias("varying"))
+    laid = _with_templates(pages.select("host", "html"), refs, ["tree"]).select("host", "html", "tree").mapInArrow(_overlay, "host string, content binary, laid binary")
+    once = laid.groupBy("host", "content").agg(F.min("laid").alias("laid")).select("host", "laid")
+    counted = once.mapInArrow(_count, "host string, node int, pages bigint, same bigint, varying bigint").groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.sum("varying").alias("varying"))
     listed = counted.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("bigint"), "pages", "same", "varying")))).alias("counts"))
     return refs.join(listed, "host", "left")
 

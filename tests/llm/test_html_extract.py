@@ -48,6 +48,18 @@ def test_template_counts(spark):
     assert t.region == t.root.nodes[1].id
 
 
+def test_copies_are_not_template(spark):
+    body = lambda i: f"<h1>Title {i}</h1><p>{f'word{i} ' * 30}end</p>"
+    page = lambda i: f"<div class=wrap><div class=x1>{body(i)}</div><div class=x2><p>Always the same line</p></div></div>"
+    text = lambda i: f"Title {i}\n{f'word{i} ' * 30}end"
+    mixed = [0] * 12 + [1, 2]
+    rows = [(k, "http://mixed.example.com/", page(i)) for k, i in enumerate(mixed)]
+    rows += [(100 + k, "http://copies.example.com/", f"<div class=wrap>{body(9)}</div>") for k in range(3)]
+    rows += [(200 + k, "http://named.example.com/", f"<div class=post>{body(7)}</div><div class=x2><p>Line {k}</p></div>") for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {k: text(i) for k, i in enumerate(mixed)} | {100 + k: text(9) for k in range(3)} | {200 + k: text(7) for k in range(4)}
+
+
 def test_named_content():
     page = "<div id=wrap><div class=top>Site and a few words more</div><div class='post-content'><h2>T</h2><p>one two three four five six seven</p><div class=share>Share</div></div><p>After</p></div>"
     assert hx.extract(page) == "T\none two three four five six seven"
