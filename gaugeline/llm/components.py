@@ -16,7 +16,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v): root is the least node that it reaches.
 
     Each round's edges are a stored table, so a lost executor costs one round.  Least neighbours are aggregated
-    before they are shuffled, so the centre of a large star is no heavier than its partial minima.
+    before they are shuffled, so the centre of a large star is no heavier than its partial minima.  Edges that haven't
+    settled when the rounds run out are an error.
     """
     edges = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(edges)
@@ -33,5 +34,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components haven't settled in {most_rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -3,7 +3,10 @@
 import random
 import re
 
+import pytest
+
 from gaugeline.llm import jaccard_join as jj
+from gaugeline.llm.components import components
 
 
 def shingles(text):
@@ -101,3 +104,10 @@ def test_cases(spark):
     assert sorted(tuple(r) for r in jj.document_components(df).collect()) == [(1, 0, 1), (3, 1, 3), (5, 1, 3), (5, 1, 3), (9, 0, 9)]
     kept = sorted(tuple(r) for r in jj.one_of_each(df).collect())
     assert kept == [(1, "", "q"), (3, "A b  c", "y"), (9, None, "z")]
+
+
+def test_components_settle_or_fail(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    assert {tuple(r) for r in components(path).collect()} == {(i, 0) for i in range(61)}
+    with pytest.raises(RuntimeError):
+        components(path, most_rounds=2)
