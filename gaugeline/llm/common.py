@@ -71,6 +71,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folded_slices(parts: DataFrame, fold, sent: str, dtype: str, slices: int, slice_bytes: int, fan: int = 64) -> bytes:
+    """All tasks' slices (part, data) of one array of type ``sent`` folded (np.add, np.bitwise_or) into the array of ``dtype``.
+
+    The fold is a tree: ``fan`` tasks at a time, twice, before the rest meet, so no group holds a slice of every task.
+    Slices that no task has sent are zero.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def folded(key, table, kind):
+        total = None
+        for x in table.column("data"):
+            got = np.frombuffer(x.as_buffer(), dtype=kind)
+            total = got.astype(dtype) if total is None else fold(total, got, out=total)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([(key[1].as_py() if len(key) > 1 else 0) // fan], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    def at_level(kind):
+        return lambda key, table: folded(key, table, kind)
+
+    shape = "part int, task int, data binary"
+    level = parts.select("part", (F.spark_partition_id() / fan).cast("int").alias("task"), "data")
+    for kind in (sent, dtype):
+        level = level.groupBy("part", "task").applyInArrow(at_level(kind), shape)
+    got = {r["part"]: bytes(r["data"]) for r in level.groupBy("part").applyInArrow(at_level(dtype), shape).collect()}
+    return b"".join(got.get(i, bytes(slice_bytes)) for i in range(slices))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``; Catalyst would otherwise repeat a shared expression."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import folded_slices, materialise
 from .components import components
 from .substring_dedup import _pack, _unpack, buckets_for
 from .wordhash import Block, block_of, blocks, mix
@@ -43,8 +43,8 @@ _SLICE_BITS = 4
 SHORT_LIST = 8
 #: Shingles by which counts may fall short, should two of a set share their 38 bits in the index.
 SLACK = 2
-#: Members of a pivot that one task relates.
-ROWS_PER_PIVOT = 20_000
+#: Members of a list that one task asks, and that ask there.
+ROWS_PER_BLOCK = 2_000
 
 
 def _sets(block: Block) -> list[np.ndarray]:
@@ -96,21 +96,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(m).cast(pa.int64()), "n": pa.nulls(m).cast(pa.int64()), "cid": pa.nulls(m).cast(pa.int64()), "part": pa.array(range(m), pa.int32()), "counts": pa.array([x.tobytes() for x in seen], pa.binary())})
 
 
-def _sum_counts(key, table):
-    total = np.zeros(1 << (CELL_BITS - _SLICE_BITS), dtype=np.int64)
-    for x in table.column("counts").to_pylist():
-        total += np.frombuffer(x, dtype=np.uint8)
-    level = np.minimum(255, 4 * np.log2(1 + total)).astype(np.uint8)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([level.tobytes()], pa.binary())})
-
-
 def _levels(profile: DataFrame) -> bytes:
     """One byte a cell: how frequent its shingles are, in quarters of powers of two."""
-    width = 1 << (CELL_BITS - _SLICE_BITS)
-    whole = bytearray(1 << CELL_BITS)
-    for r in profile.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_sum_counts, "part int, counts binary").collect():
-        whole[r["part"] * width : (r["part"] + 1) * width] = r["counts"]
-    return bytes(whole)
+    sums = folded_slices(profile.where("part is not null").select("part", F.col("counts").alias("data")), np.add, "<u1", "<i8", 1 << _SLICE_BITS, 8 << (CELL_BITS - _SLICE_BITS))
+    return np.minimum(255, 4 * np.log2(1 + np.frombuffer(sums, dtype="<i8"))).astype(np.uint8).tobytes()
 
 
 _TYPES = ("<i8", "<u4", "<u4", "<u4", "<u4")
@@ -365,18 +354,9 @@ def _bitmap(ids: DataFrame) -> bytes:
         if any_id:
             packed = np.packbits(bits).reshape(-1, width)
             some = [i for i, x in enumerate(packed) if x.any()]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "bits": pa.array([packed[i].tobytes() for i in some], pa.binary())})
-
-    def merge(key, table):
-        total = np.zeros(width, dtype=np.uint8)
-        for x in table.column("bits").to_pylist():
-            total |= np.frombuffer(x, dtype=np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "data": pa.array([packed[i].tobytes() for i in some], pa.binary())})
 
-    whole = bytearray(1 << (MAP_BITS - 3))
-    for r in ids.mapInArrow(put, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
-        whole[r["part"] * width : (r["part"] + 1) * width] = r["bits"]
-    return bytes(whole)
+    return folded_slices(ids.mapInArrow(put, "part int, data binary"), np.bitwise_or, "<u1", "<u1", 1 << _SLICE_BITS, width)
 
 
 def _six_bytes(s: np.ndarray) -> bytes:
@@ -445,28 +425,27 @@ def _linked(compared: DataFrame) -> DataFrame:
 
 
 def _relate(key, table):
-    """Links that join components among a pivot's members.
+    """Links that join components: one block of a list's askers against one block of its members.
 
     For members x and y with overlaps ox and oy with a pivot of size np, the overlap of x and y is at least
     ox + oy - np and at most min(ox, oy) + min(nx - ox, ny - oy).  What the bounds leave open an index of the
-    members' shingles answers, for one member against all others at a time.  Members that a link has joined are not
+    members' shingles answers, for one asker against all members at a time.  Members that a link has joined are not
     related any further.
     """
     x, n, code = (table.column(c).to_numpy().copy() for c in ("b", "n", "root"))
-    inside = table.column("inside").to_numpy(zero_copy_only=False)
-    pivot, salt, m = key[0].as_py(), key[1].as_py(), len(x)
+    inside, asks, answers = (table.column(c).to_numpy(zero_copy_only=False) for c in ("inside", "asks", "answers"))
     sets = [_from_six(d) for d in table.column("s").to_pylist()]
     tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], np.repeat(np.arange(m), [len(s) for s in sets])[order]
+    tokens, owner = tokens[order], np.repeat(np.arange(len(x)), [len(s) for s in sets])[order]
 
     def overlaps(i: int) -> np.ndarray:
         lo, hi = np.searchsorted(tokens, sets[i], side="left"), np.searchsorted(tokens, sets[i], side="right")
         many = hi - lo
         at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return np.bincount(owner[at], minlength=m)
+        return np.bincount(owner[at], minlength=len(x))
 
-    centre = int(np.flatnonzero(x == pivot)[0])
+    centre = int(np.flatnonzero(x == key[0].as_py())[0])
     o, size = overlaps(centre), int(n[centre])
     links: list[tuple[int, int]] = []
 
@@ -475,12 +454,13 @@ def _relate(key, table):
             links.append((int(x[i]), int(x[j])))
             code[code == code[j]] = code[i]
 
-    for i in np.flatnonzero(~inside).tolist():
-        # Against the members of the pivot's component here, and once (in the first part) against later outsiders.
-        others = np.flatnonzero((inside | ((np.arange(m) > i) & (salt == 0))) & (code != code[i]))
+    for i in np.flatnonzero(asks).tolist():
+        # Members of the pivot's component ask nobody; of two others the greater asks.
+        others = np.flatnonzero(answers & (inside | (x < x[i])) & (code != code[i]))
         least = needed(n[i], n[others])
         high = np.minimum(o[i], o[others]) + np.minimum(n[i] - o[i], n[others] - o[others])
-        others, least = others[(high >= least) & (np.minimum(n[i], n[others]) >= least)], least[(high >= least) & (np.minimum(n[i], n[others]) >= least)]
+        open_ = (high >= least) & (np.minimum(n[i], n[others]) >= least)
+        others, least = others[open_], least[open_]
         join(i, others[o[i] + o[others] - size >= least])
         apart = code[others] != code[i]
         if apart.any():
@@ -490,16 +470,37 @@ def _relate(key, table):
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _needed_lists(members: DataFrame) -> DataFrame:
+    """Members (a, b, na, nb) without pivots whose members all belong to one larger pivot too: they are related there."""
+    sizes = members.groupBy("a").agg(F.count("*").alias("m"))
+    homes = members.join(sizes, "a").groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("h"))
+    held = members.join(homes, "b").groupBy("a").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    return members.join(held.where("low <> high or low = a").select("a"), "a", "left_semi")
+
+
 def _links_of_pivots(text: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links among the members (a, b, na, nb) of pivots a whose members are in several components."""
-    own = members.groupBy("a").agg(F.count("*").alias("members"), F.max("na").alias("n"))
-    salts = own.select("a", F.ceil(F.col("members") / ROWS_PER_PIVOT).cast("int").alias("salts"))
+    """Links among the members (a, b, na, nb) of pivots a whose members are in several components.
+
+    A pivot's askers (members outside its component) and its members are dealt to blocks of ROWS_PER_BLOCK; every pair
+    of blocks is a group of its own, so no task holds a whole list, however long.
+    """
+    members = materialise(_needed_lists(members), "lists")
+    own = members.groupBy("a").agg(F.first("na").alias("n"))
     every = members.select("a", "b", F.col("nb").alias("n")).unionByName(own.select("a", F.col("a").alias("b"), "n"))
-    rooted = _rooted(every, roots).join(salts, "a").withColumn("inside", F.col("root") == F.col("home"))
-    here = F.when(F.col("inside") & (F.col("a") != F.col("b")), F.array(F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    placed = materialise(rooted.withColumn("salt", F.explode(here)).select("a", "b", "n", "root", "inside", "salt"), "members")
+    rooted = materialise(_rooted(every, roots).withColumn("inside", F.col("root") == F.col("home")), "rooted")
+    blocks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / ROWS_PER_BLOCK)).cast("int")
+    counts = rooted.groupBy("a").agg(blocks_of(F.count_if(~F.col("inside"))).alias("ask_blocks"), blocks_of(F.count("*")).alias("blocks"))
+    dealt = rooted.join(counts, "a")
+    mine = lambda many: F.pmod(F.xxhash64("b"), F.col(many)).cast("int")
+    pivot = F.col("a") == F.col("b")
+    # The pivot, which bounds are taken from, is everywhere.
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.col("ask_blocks") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    placed = dealt.withColumn("at", F.explode(F.filter(places, lambda p: pivot | (p["j"] == mine("blocks")) | (~F.col("inside") & (p["i"] == mine("ask_blocks"))))))
+    asks = ~F.col("inside") & (F.col("at.i") == mine("ask_blocks"))
+    answers = F.col("at.j") == mine("blocks")
+    placed = materialise(placed.select("a", "b", "n", "root", "inside", F.col("at.i").alias("i"), F.col("at.j").alias("j"), asks.alias("asks"), answers.alias("answers")), "members")
     met = placed.join(_sets_of(text, placed.select(F.col("b").alias("cid"))).withColumnRenamed("cid", "b"), "b")
-    return materialise(met.groupBy("a", "salt").applyInArrow(_relate, "u bigint, v bigint").distinct(), "links")
+    return materialise(met.groupBy("a", "i", "j").applyInArrow(_relate, "u bigint, v bigint").distinct(), "links")
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -96,6 +96,34 @@ def test_copies_of_a_passage_that_longer_documents_hold(spark):
     assert got == brute(docs)
 
 
+def _class_of(text):
+    (one,) = jj._sets(jj.block_of([text.encode()]))
+    return jj._class_of(one)
+
+
+def test_a_pivot_that_is_linked_with_none_of_its_list(spark):
+    """A long text that holds both passages has the least class, so it is the pivot of the lists of both."""
+    x, z = [f"x{i}" for i in range(200)], [f"z{i}" for i in range(600)]
+    near = [" ".join([*x[:i], f"c{i}", *x[i + 1 :]]) for i in range(3, 195, 16)]
+    alike = [" ".join([*z[:i], f"d{i}", *z[i + 1 :]]) for i in range(5, 595, 20)]
+    least = min(map(_class_of, near))
+    both = next(t for t in (" ".join([*x, *z, f"tail{k}"]) for k in range(10_000)) if _class_of(t) < least)
+    docs = list(enumerate([*near, *alike, both]))
+    got = sorted(tuple(r) for r in jj.document_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute(docs)
+    assert {c for d, _, c in got if d < len(near)} == {0}
+
+
+@pytest.mark.parametrize("rows", [3, 7])
+def test_lists_in_blocks(spark, monkeypatch, rows):
+    """Lists that are dealt to many blocks of askers and members give the same links."""
+    monkeypatch.setattr(jj, "ROWS_PER_BLOCK", rows)
+    texts = corpus(11, 250)
+    docs = list(zip(random.Random(11).sample(range(10**6), len(texts)), texts, strict=True))
+    got = sorted(tuple(r) for r in jj.document_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+    assert got == brute(docs)
+
+
 def test_cases(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jj.document_components(df).count() == 0
