@@ -2,8 +2,12 @@
 
 import hashlib
 import random
+from collections import Counter
 
-from gaugeline.llm import substring_dedup as sd
+import numpy as np
+import pytest
+
+from gaugeline.llm import substring_dedup as sd, wordhash
 
 W = sd.WINDOW
 
@@ -56,6 +60,59 @@ def test_against_all_windows(spark):
     assert sum(x[2] for x in got) > 1000
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_long_texts_and_lengthened_prefixes(spark, monkeypatch, hot):
+    """Texts that are cut into parts, groups of few suffixes, prefixes that are lengthened, and a short memory of sent nodes."""
+    for name, value in (("HOT_RUNS", hot), ("GROUP_RUNS", 5), ("PART_WORDS", 37), ("REMEMBERED", 50), ("FLUSH_BYTES", 2000)):
+        monkeypatch.setattr(sd, name, value)
+    monkeypatch.setattr(wordhash, "HASHED_AT_ONCE", 16)
+    texts = corpus(9, 150) + [" ".join(corpus(3, 30)[:30:2]), "w " * 300 + "long" * 50]
+    docs = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    # Workers get the values with the functions' globals only where the module is theirs, so the parts are run here.
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in docs]), "__key": pa.array(range(len(docs)), pa.int64()), "text": pa.array([t for _, t in docs])})
+    digits = 6
+    sent = [r for i in range(0, len(docs), 40) for b in sd._prefix_rows(digits)(iter([batch.select(["text"]).slice(i, 40)])) for r in b.to_pylist()]
+    counts = Counter()
+    for r in sent:
+        for x in memoryview(r["payload"]).cast("I"):
+            counts[r["bucket"] << 32 | x] += 1
+    bitmaps = []
+    for least in (1, hot):
+        bits = bytearray(1 << (sd.MAP_BITS - 3))
+        for x, n in counts.items():
+            if n > least:
+                at = x >> (digits + 32 - sd.MAP_BITS)
+                bits[at >> 3] |= 128 >> (at & 7)
+        bitmaps.append(bytes(bits))
+
+    class Shared:
+        value = tuple(bitmaps)
+
+    rows = [r for i in range(0, len(docs), 40) for b in sd._suffix_rows(digits, Shared)(iter([batch.slice(i, 20), batch.slice(i + 20, 20)])) for r in b.to_pylist()]
+    spans = {}
+    for bucket in {r["bucket"] for r in rows}:
+        mine = [r for r in rows if r["bucket"] == bucket]
+        table = pa.table({"bucket": pa.array([bucket] * len(mine), pa.int32()), "kind": pa.array([r["kind"] for r in mine], pa.int32()), "payload": pa.array([r["payload"] for r in mine], pa.binary())})
+        for m in sd._marks((pa.scalar(bucket),), table).to_pylist():
+            spans.setdefault((m["__id"], m["__key"]), []).append(m["__spans"])
+    whole = pa.RecordBatch.from_pydict({"text": batch.column(2), "__spans": pa.array([spans.get((d, i)) for i, (d, _) in enumerate(docs)], pa.list_(pa.binary()))})
+    got = sorted((d, n, gone, hashlib.sha256(kept).hexdigest()) for (d, _), (n, gone, kept) in zip(docs, sd.kept_words(whole, "text", "__spans"), strict=True))
+    assert got == brute(docs)
+    monkeypatch.undo()
+    assert sorted(tuple(r) for r in sd.dedup_digest(df).collect()) == got
+
+
+def test_nodes_are_equal_for_equal_words():
+    words = ("a b c " * 20 + "é " * 30 + "a b c " * 10).encode()
+    starts = np.arange(0, 101)
+    node = sd.nodes_of([words[:60], words[60:]], starts)
+    split = words.split()
+    assert {(x, y) for x in range(101) for y in range(101) if node[x] == node[y]} == {(x, y) for x in range(101) for y in range(101) if split[x : x + W] == split[y : y + W]}
+
+
 def test_columns_stay_and_cases(spark):
     long = " ".join(f"z{i}" for i in range(30))
     rows = [(1, long, "en", 5), (2, "start " + long + " end", "x", None), (2, "start " + long + " end", "x", None), (3, "short  text", None, 1)]
