@@ -127,21 +127,53 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True
         stream.close()
 
 
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """A file of lines, written as they come."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for line in lines:
+            stream.write(bytearray((line + "\n").encode()))
+    finally:
+        stream.close()
+
+
 # -- many markers, relationally -----------------------------------------------------------------------------------
 _RESULT = "struct<status:struct<status:string,failure:array<string>>,description:string,type:string>"
 _STAT = "struct<type:string,value:double>"
 _SUMMARY = f"struct<type:string,minimum:{_STAT},maximum:{_STAT},mean:{_STAT},stddev:{_STAT},median:{_STAT},sample:struct<`sample-type`:string,`sample-values`:array<double>>>"
 MARKER = (
     f"version string, view string, `view-file` string, timestamp string, results array<{_RESULT}>, metadata struct<`check-dates`:array<string>,`check-files`:array<string>,"
-    "`check-params`:struct<separator:string,`freeform-text-threshold`:int,`file-format`:string,`line-bound`:int>,"
+    "`check-params`:struct<separator:string,`freeform-text-threshold`:int,`file-format`:string,`line-bound`:int,`sampling-type`:struct<type:string,`reservoir-size`:int>,`pii-check-type`:struct<type:string,`max-pii-observations`:int>>,"
     "counts:struct<`bad-rows`:bigint,`total-rows`:bigint,`field-counts`:array<int>,`field-looks`:array<array<struct<looks:string,count:bigint>>>,"
     f"`text-counts`:array<struct<type:string,uniques:array<bigint>>>,`numeric-summaries`:struct<type:string,`field-summary`:array<{_SUMMARY}>>>>"
 )
 
 
 def read_markers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row a marker, with its path."""
-    return spark.read.schema(MARKER).option("multiLine", True).json(paths).withColumn("path", F.col("_metadata.file_path"))
+    """One row a marker, with its path; what older versions lack has its default."""
+    raw = spark.read.schema(MARKER).option("multiLine", True).json(paths).withColumn("path", F.col("_metadata.file_path"))
+    return with_defaults(raw)
+
+
+def with_defaults(found: DataFrame) -> DataFrame:
+    params = F.col("metadata.check-params")
+    counts = F.col("metadata.counts")
+    none = F.from_json(F.lit(json.dumps({"type": "no-numeric-field-summary"})), found.schema["metadata"].dataType["counts"].dataType["numeric-summaries"].dataType)
+    kind = {"sampling-type": "struct<type:string,`reservoir-size`:int>", "pii-check-type": "struct<type:string,`max-pii-observations`:int>"}
+    filled = params.withField("`file-format`", F.coalesce(params["file-format"], F.lit(DEFAULTS["file-format"])))
+    for name, shape in kind.items():
+        filled = filled.withField(f"`{name}`", F.coalesce(params[name], F.from_json(F.lit(json.dumps(DEFAULTS[name])), shape)))
+    whole = F.col("metadata").withField("`check-params`", filled).withField("counts", counts.withField("`numeric-summaries`", F.coalesce(counts["numeric-summaries"], none)))
+    return found.withColumn("metadata", F.when(F.col("metadata").isNotNull(), whole))
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """The markers, if all are of known versions; an error names the others."""
+    odd = found.where(F.col("version").isNull() | ~F.col("version").isin(*VERSIONS)).select("path", "version").limit(10).collect()
+    if odd:
+        raise MarkerError("unknown marker versions: " + ", ".join(f"{r['path']} ({r['version']})" for r in odd))
+    return found
 
 
 def failed(markers: DataFrame) -> DataFrame:
@@ -174,7 +206,7 @@ def merged_forms(markers: DataFrame, threshold: int) -> DataFrame:
 
 def validate(markers: DataFrame, use_failed: bool = False) -> dict[str, Any]:
     """View, widths, threshold and rows of markers that may be inferred from together."""
-    r = markers.agg(
+    r = checked(markers).agg(
         F.count("*").alias("n"),
         F.count_distinct("view").alias("views"),
         F.count_distinct(F.array_sort("metadata.counts.field-counts")).alias("widths"),
@@ -183,9 +215,15 @@ def validate(markers: DataFrame, use_failed: bool = False) -> dict[str, Any]:
         F.min("view").alias("view"),
         F.min("metadata.check-params.freeform-text-threshold").alias("threshold"),
         F.sum("metadata.counts.total-rows").alias("rows"),
+        F.count("metadata.counts.field-looks").alias("with_looks"),
+        F.count("metadata.counts.text-counts").alias("with_forms"),
     ).first()
     if not r["n"]:
         raise MarkerError("no markers")
+    if not r["with_looks"]:
+        raise MarkerError("no field counts in any marker")
+    if not r["with_forms"]:
+        raise MarkerError("no text counts in any marker")
     for name, what in (("views", "views"), ("widths", "field counts"), ("thresholds", "freeform thresholds")):
         if r[name] > 1:
             raise MarkerError(f"markers differ in their {what}")

@@ -1,12 +1,12 @@
 """The profile of a feed: one aggregation over rows, one over (position, field), both with partial sums on the map side.
 
-Rows have ``bad`` and ``fields`` (sources.text, sources.tables).  Positions beyond the narrowest good row are not
-profiled, for their rows don't agree on what they are.
+Rows have ``bad`` and ``fields`` (sources.text, sources.tables).  Good rows of different widths are profiled at every
+position that any of them has; a row that lacks a position leaves no trace there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gaugeline.functions import fields as f
 
@@ -30,12 +30,9 @@ def date_summary(rows: DataFrame, date: Column) -> DataFrame:
     return span.withColumn("date_range", F.coalesce(rendered, F.lit("no-dates")))
 
 
-def exploded(rows: DataFrame, width: int | None = None) -> DataFrame:
-    """(pos, value) of good rows, up to ``width``: by default the narrowest good row's."""
-    good = rows.where(~F.col("bad"))
-    if width is None:
-        width = good.agg(F.min(F.size("fields")).alias("w")).first()["w"] or 0
-    return good.select(F.posexplode(F.slice("fields", 1, max(width, 1)) if width else F.slice("fields", 1, 0)).alias("pos", "value"))
+def exploded(rows: DataFrame) -> DataFrame:
+    """(pos, value) of all fields of good rows."""
+    return rows.where(~F.col("bad")).select(F.posexplode("fields").alias("pos", "value"))
 
 
 def look_counts() -> list[Column]:
@@ -54,9 +51,25 @@ def annotated(cells: DataFrame) -> DataFrame:
     return look.withColumn("num", F.when(f.looks_numeric(F.col("look")), F.col("value").try_cast("double")))
 
 
-def field_profile(rows: DataFrame, width: int | None = None) -> DataFrame:
+def field_profile(rows: DataFrame) -> DataFrame:
     """One row a position: look counters and numeric summary."""
-    return annotated(exploded(rows, width)).groupBy("pos").agg(*look_counts(), *numeric_stats())
+    return annotated(exploded(rows)).groupBy("pos").agg(*look_counts(), *numeric_stats())
+
+
+def free_fields(cells: DataFrame, threshold: int = FREEFORM, slices: int = SLICES) -> DataFrame:
+    """(pos, free): fields that reach the threshold within one slice of the hash space, so that they are free text for certain."""
+    one = _hashed(cells).where(F.pmod("h", F.lit(slices)) == 0).distinct().groupBy("pos").agg(F.count("*").alias("n"))
+    return one.where(F.col("n") >= threshold).select("pos", F.lit(True).alias("free"))
+
+
+def _hashed(cells: DataFrame) -> DataFrame:
+    return cells.select("pos", f.text_hash(F.coalesce("value", F.lit(""))).alias("h"))
+
+
+def _classified(counted: DataFrame, threshold: int) -> DataFrame:
+    """Adds uniques and form from n, the distinct values; null for fields known to be free."""
+    categorical = F.coalesce(F.col("n") < threshold, F.lit(False))
+    return counted.withColumns({"uniques": F.when(categorical, F.col("n")), "form": F.when(categorical, F.lit("unique-text-count")).otherwise(F.lit("looks-freeform"))})
 
 
 def capped_distinct(cells: DataFrame, threshold: int = FREEFORM, slices: int = SLICES) -> DataFrame:
@@ -65,22 +78,25 @@ def capped_distinct(cells: DataFrame, threshold: int = FREEFORM, slices: int = S
     Free text is found in one slice of the hash space, so its values are never shuffled: only fields that might be
     categorical are counted in full.
     """
-    hashed = cells.select("pos", f.text_hash(F.coalesce("value", F.lit(""))).alias("h"))
-    one = hashed.where(F.pmod("h", F.lit(slices)) == 0).distinct().groupBy("pos").agg(F.count("*").alias("n"))
-    free = one.where(F.col("n") >= threshold).select("pos", F.lit(True).alias("free"))
+    free = free_fields(cells, threshold, slices)
     # One row a field on the broadcast side: bounded by the width of a record.  The slice is scanned once, its exchange is reused.
-    rest = hashed.join(F.broadcast(free), "pos", "left_anti").distinct().groupBy("pos").agg(F.count("*").alias("n"))
+    rest = _hashed(cells).join(F.broadcast(free), "pos", "left_anti").distinct().groupBy("pos").agg(F.count("*").alias("n"))
     counted = rest.unionByName(free.select("pos", F.lit(None).cast("bigint").alias("n")))
-    categorical = F.coalesce(F.col("n") < threshold, F.lit(False))
-    return counted.select("pos", F.when(categorical, F.col("n")).alias("uniques"), F.when(categorical, F.lit("unique-text-count")).otherwise(F.lit("looks-freeform")).alias("form"))
+    return _classified(counted, threshold).select("pos", "uniques", "form")
 
 
 def distinct_hashes(cells: DataFrame, threshold: int = FREEFORM) -> DataFrame:
-    """(pos, hashes): the sorted hashes of fields below the threshold, null for free text.  At most ``threshold`` each."""
-    forms = capped_distinct(cells, threshold)
-    kept = cells.join(F.broadcast(forms.where("form = 'unique-text-count'").select("pos")), "pos", "left_semi")
-    sets = kept.select("pos", f.text_hash(F.coalesce("value", F.lit(""))).alias("h")).distinct().groupBy("pos").agg(F.array_sort(F.collect_list("h")).alias("hashes"))
-    return forms.join(F.broadcast(sets), "pos", "left").select("pos", "form", "uniques", "hashes")
+    """(pos, form, uniques, hashes): with the sorted hashes of fields below the threshold, null for free text.
+
+    Counted and listed in one pass: distinct hashes are numbered within their field and those from the threshold on go
+    before any are listed, so a list has at most ``threshold``.
+    """
+    free = free_fields(cells, threshold)
+    once = _hashed(cells).join(F.broadcast(free), "pos", "left_anti").distinct()
+    few = once.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("h"))).where(F.col("r") <= threshold)
+    listed = few.groupBy("pos").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("h")).alias("hashes"))
+    counted = listed.unionByName(free.select("pos", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<bigint>").alias("hashes")))
+    return _classified(counted, threshold).select("pos", "form", "uniques", F.when(F.col("uniques").isNotNull(), F.col("hashes")).alias("hashes"))
 
 
 def pii_observations(cells: DataFrame, most: int = MAX_PII) -> DataFrame:
@@ -112,20 +128,54 @@ def pii_by_field(cells: DataFrame) -> DataFrame:
     return cells.select("pos", f.pii_type(F.col("value")).alias("type")).where("type is not null").groupBy("pos", "type").agg(F.count("*").alias("n"))
 
 
-def with_row_key(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Cells with a stable key of their row, which sampling orders by."""
-    return rows.where(~F.col("bad")).select(F.xxhash64(*key).alias("key"), F.posexplode("fields").alias("pos", "value"))
+#: Hexadecimal digits of a row's draw.
+DRAW_DIGITS = 15
 
 
-def reservoir(cells: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """(pos, sample): ``size`` numbers of each numeric field, uniformly, the same for a seed whatever the partitions.
+def with_draw(rows: DataFrame, key: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """Good rows with ``draw``, a uniform hexadecimal number.
 
-    The least hashes of (seed, row key) win.  Each salt cuts to ``size`` first, so no task sorts a whole field.
+    It comes from the columns of a unique key, and then doesn't depend on partitions; without a key from the place
+    that the row is read at, so that rows of equal content are drawn apart.
     """
-    numbers = annotated(cells).where("num is not null").select("pos", "num", "key", F.xxhash64(F.lit(seed), "key", "pos").alias("h"))
-    salted = Window.partitionBy("pos", F.pmod("key", F.lit(32))).orderBy("h", "key", "num")
-    few = numbers.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= size)
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("h", "key", "num"))).where(F.col("r") <= size)
+    places = [F.monotonically_increasing_id().alias("__place")] if key is None else []
+    placed = rows.select("*", *places).where(~F.col("bad"))
+    names = [F.col(k).cast("string") for k in key] if key else [F.col("__place").cast("string")]
+    return placed.withColumn("draw", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *names)), 1, DRAW_DIGITS)).drop("__place")
+
+
+def _cut(share: float) -> str:
+    """The draw below which this share of rows lies."""
+    return f"{min(16**DRAW_DIGITS - 1, int(share * 16**DRAW_DIGITS)):0{DRAW_DIGITS}x}"
+
+
+def reservoir(drawn: DataFrame, size: int, numbers: dict[int, int] | None = None) -> DataFrame:
+    """(pos, sample): ``size`` numbers of each numeric field, uniformly: those of the rows with the least draws.
+
+    ``numbers`` says how many numbers a field has, as a profile knows; without it they are counted first.  From the count
+    follows a draw that all of the sample lie below but for one case in a thousand million, so hardly a row is looked
+    at; a field that comes out short all the same is drawn from all of its rows.
+    """
+    if numbers is None:
+        numbers = {r["pos"]: r["n"] for r in annotated(exploded(drawn)).groupBy("pos").agg(F.count("num").alias("n")).collect()}
+    numbers = {p: n for p, n in numbers.items() if n}
+    share = {p: min(1.0, (size + 6 * size**0.5 + 20) / n) for p, n in numbers.items()}
+    first = _drawn(drawn, size, share)
+    if all(x == 1.0 for x in share.values()):
+        return first
+    got = {r["pos"]: r["sample"] for r in first.collect()}  # at most ``size`` numbers a field
+    short = {p: 1.0 for p, n in numbers.items() if len(got.get(p, ())) < min(size, n)}
+    again = {r["pos"]: r["sample"] for r in _drawn(drawn, size, short).collect()} if short else {}
+    return drawn.sparkSession.createDataFrame(sorted((got | again).items()), "pos int, sample array<double>")
+
+
+def _drawn(drawn: DataFrame, size: int, share: dict[int, float]) -> DataFrame:
+    whole = any(x == 1.0 for x in share.values())
+    rows = drawn if whole or not share else drawn.where(F.col("draw") <= _cut(max(share.values())))
+    cuts = F.create_map(*[F.lit(x) for p, s in share.items() for x in (p, "g" if s == 1.0 else _cut(s))]) if share else F.create_map().cast("map<int,string>")
+    cells = rows.select("draw", F.posexplode("fields").alias("pos", "value")).where(F.col("draw") <= cuts[F.col("pos")])
+    found = cells.select("pos", "draw", f.numeric_value(F.col("value")).alias("num")).where("num is not null")
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("draw", "num"))).where(F.col("r") <= size)
     return ranked.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "num"))), lambda x: x["num"]).alias("sample"))
 
 
@@ -137,6 +187,51 @@ def sample_median(sample: Column) -> Column:
     )[0]
 
 
-def exact_median() -> Column:
-    """Median of all numbers of a group, null below two."""
-    return F.when(F.count("num") >= 2, F.median("num"))
+#: Accuracy of the quantile sketch, and distinct numbers of a group that are sorted in one place.
+ACCURACY, SORTED_AT_ONCE = 10_000, 2_000_000
+
+
+def exact_medians(cells: DataFrame, group: str = "pos", num: str = "num") -> DataFrame:
+    """(group, median): the exact median of each group's numbers, null below two; null numbers leave no trace.
+
+    A quantile sketch, summed by task, bounds the middle from both sides; numbers below are counted, and only the distinct
+    ones between the bounds are sorted.  Bounds that hold more than SORTED_AT_ONCE are narrowed first, so no task holds a
+    group, however large.
+    """
+    x = cells.select(F.col(group).alias("g"), F.col(num).cast("double").alias("x")).where("x is not null")
+    margin = 2 / ACCURACY
+    sketched = x.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("x", [0.5 - margin, 0.5 + margin], ACCURACY).alias("q"))
+    found = {r["g"]: (r["n"], *r["q"]) for r in sketched.collect()}
+    inside = {g: 2 * margin * n for g, (n, _, _) in found.items()}
+    while any(k > SORTED_AT_ONCE and found[g][1] < found[g][2] for g, k in inside.items()):
+        narrower, held = _narrowed(x, found, margin)
+        if narrower == found:
+            break
+        found, inside = narrower, held
+    frame = _bounds(x, found)
+    # One row a group on the broadcast side.
+    met = x.join(F.broadcast(frame), "g").where(F.col("x") <= F.col("b")).groupBy("g", F.when(F.col("x") >= F.col("a"), F.col("x")).alias("v")).agg(F.count("*").alias("c"))
+    upto = met.join(F.broadcast(frame), "g").withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda rank: F.min_by("v", F.when(F.col("upto") > rank, F.col("upto")))
+    middle = upto.groupBy("g").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), F.first("n").alias("n"))
+    return middle.select(F.col("g").alias(group), F.when(F.col("n") >= 2, F.col("median")).alias("median"))
+
+
+def _bounds(x: DataFrame, found: dict) -> DataFrame:
+    schema = T.StructType([x.schema["g"], T.StructField("n", T.LongType()), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+    return x.sparkSession.createDataFrame([(g, *v) for g, v in found.items()], schema)
+
+
+def _narrowed(x: DataFrame, found: dict, margin: float) -> tuple[dict, dict]:
+    """Bounds from a sketch of the numbers within the bounds, and how many are within the new ones."""
+    met = x.join(F.broadcast(_bounds(x, found)), "g")
+    here = (F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b"))
+    counted = {r["g"]: (r["below"], r["within"]) for r in met.groupBy("g").agg(F.count_if(F.col("x") < F.col("a")).alias("below"), F.count_if(here).alias("within")).collect()}
+    places = {}
+    for g, (n, _, _) in found.items():
+        below, within = counted[g]
+        places[g] = [min(1.0, max(0.0, ((n - 1) // 2 + 0.5 - below) / within - margin)), min(1.0, max(0.0, (n // 2 + 0.5 - below) / within + margin))]
+    asked = sorted({p for ps in places.values() for p in ps})
+    sketch = {r["g"]: dict(zip(asked, r["q"], strict=True)) for r in met.where(here).groupBy("g").agg(F.percentile_approx("x", asked, ACCURACY).alias("q")).collect()}
+    new = {g: (n, sketch[g][places[g][0]], sketch[g][places[g][1]]) for g, (n, _, _) in found.items()}
+    return new, {g: (places[g][1] - places[g][0]) * counted[g][1] for g in found}

@@ -106,6 +106,23 @@ def minima(types: Column) -> Column:
     return F.filter(types, lambda t: ~F.exists(types, lambda u: (u != t) & f.type_at_most(u, t)))
 
 
+def check_counts(hist: DataFrame, total: int) -> None:
+    """No rows, or a field with more compatible entries than there are rows, is an error."""
+    if total == 0:
+        raise InferenceError("no rows")
+    short = [t.removesuffix("-field") for t in f.TYPES]
+    over = [r["pos"] for r in hist.where(F.greatest(*short) > total).select("pos").orderBy("pos").collect()]  # one row a field
+    if over:
+        raise InferenceError(f"fields {over} have more compatible entries than the {total} rows")
+
+
+def check_forms(forms: DataFrame) -> None:
+    """A categorical field without a single value is an error."""
+    none = [r["pos"] for r in forms.where("form = 'unique-text-count' and uniques = 0").select("pos").orderBy("pos").collect()]  # one row a field
+    if none:
+        raise InferenceError(f"no text counts for fields {none}")
+
+
 def infer(profile: DataFrame, forms: DataFrame, total: int, threshold: int, ratio: float = MATCH_RATIO) -> DataFrame:
     """(pos, field_type, uniques) of a profile with look counters and its forms (pos, form, uniques)."""
     if total < threshold:

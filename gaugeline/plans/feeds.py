@@ -7,6 +7,7 @@ import re
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from itertools import chain, groupby
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -92,22 +93,21 @@ def sanity(spark: SparkSession, files: list[views.ViewFile], params: CheckParams
 def profile_rows(rows: DataFrame, params: CheckParams, schema: list[sch.SchemaField] | None = None) -> tuple[list[str], dict[str, Any]]:
     """Failures and the counts of a marker.
 
-    The rows are read once for their widths, once for all fields' looks, numbers and personal data, and once or twice
-    for distinct counts (and for samples).  Nothing is cached: at scale a second read costs less than keeping parsed rows.
+    The rows are read once for their widths, once for all fields' looks, numbers and personal data, twice for distinct
+    values, the first time for a slice of them, and once for samples, which look at few rows.  Nothing is cached: at
+    scale a second read costs less than keeping parsed rows.
     """
     spark = rows.sparkSession
     summary = profile.row_summary(rows)
     (s,) = summary.collect()
-    width = min(s["field_counts"]) if s["field_counts"] else 0
-    cells = profile.exploded(rows, width)
+    cells = profile.exploded(rows)
     pii = F.lit(None).cast("string") if params.max_pii is None else f.pii_type(F.col("value"))
     by_position = profile.annotated(cells).withColumn("pii", pii).groupBy("pos").agg(*profile.look_counts(), *profile.numeric_stats(), *profile.pii_counts())
     by_field = by_position.orderBy("pos").collect()
     forms = {r["pos"]: r for r in profile.distinct_hashes(cells, params.freeform_threshold).collect()}
     samples = {}
     if params.reservoir_size is not None:
-        # Rows are told apart by their content: a draw that depends on neither partitions nor file order.
-        drawn = profile.reservoir(profile.with_row_key(rows, ["fields"]).where(F.col("pos") < width), params.reservoir_size)
+        drawn = profile.reservoir(profile.with_draw(rows), params.reservoir_size, {r["pos"]: r["n_numeric"] for r in by_field})
         samples = {r["pos"]: r for r in drawn.select("pos", "sample", profile.sample_median(F.col("sample")).alias("median")).collect()}
     # From here on tables have one row, or one a field.
     one = spark.createDataFrame([s], summary.schema)
@@ -165,13 +165,11 @@ def check(spark: SparkSession, view: str, params: CheckParams = CheckParams(), m
 
 
 def check_file(spark: SparkSession, path: str, params: CheckParams = CheckParams(), markers_at: str | None = None) -> Outcome:  # noqa: B008
-    """One file by itself; its directory is the view if the path isn't in the layout."""
+    """One file by itself: its directory is the view."""
     path = os.path.abspath(path) if "://" not in path else path
     found = views.parse_view_file(path)
-    if found is None:
-        folder, _, name = path.rpartition("/")
-        found = _Loose(folder, "", name)
-    return check_files(spark, found.view, [found], params, markers_at)
+    folder, _, name = path.rpartition("/")
+    return check_files(spark, folder, [found or _Loose(folder, "", name)], params, markers_at)
 
 
 class _Loose(views.ViewFile):
@@ -182,33 +180,44 @@ class _Loose(views.ViewFile):
         return f"{self.view}/{self.part}"
 
 
-def infer(spark: SparkSession, marker_paths: list[str], ratio: float = sch.MATCH_RATIO, use_failed: bool = False) -> list[sch.SchemaField]:
-    """A schema from markers of the same view."""
+def infer(spark: SparkSession, marker_paths: list[str], ratio: float = sch.MATCH_RATIO, use_failed: bool = False, say=None) -> list[sch.SchemaField]:
+    """A schema from markers of the same view; ``say`` gets the fields' histograms of types as lines."""
     found = markers.read_markers(spark, marker_paths)
     known = markers.validate(found, use_failed)
-    return sch.collect_schema(sch.infer(markers.summed_looks(found), markers.merged_forms(found, known["threshold"]), known["rows"], known["threshold"], ratio))
+    looks, forms = markers.summed_looks(found), markers.merged_forms(found, known["threshold"])
+    hist = sch.histogram(looks)
+    if say is not None:
+        for r in hist.orderBy("pos").collect():  # one row a field
+            say(f"{r['pos']}: " + ", ".join(f"{t}: {r[t.removesuffix('-field')]}" for t in f.TYPES))
+    inferred = sch.infer(looks, forms, known["rows"], known["threshold"], ratio)
+    sch.check_forms(forms)
+    sch.check_counts(hist, known["rows"])
+    return sch.collect_schema(inferred)
 
 
 def extract_samples(spark: SparkSession, marker_paths: list[str], out: str) -> None:
     """Samples of all numeric fields as CSV without a header; no markers, no output."""
     if marker_paths:
-        cells = markers.summaries(markers.read_markers(spark, marker_paths))
+        cells = markers.summaries(markers.checked(markers.read_markers(spark, marker_paths)))
         markers.validate_summaries(cells, same_view=False)
         markers.sample_columns(cells).coalesce(1).write.mode("overwrite").csv(out)
 
 
 def summarise(spark: SparkSession, marker_paths: list[str], folder: str = ".") -> list[str]:
-    """A report of each numeric field as a directory of CSV with a header, named for view and field."""
+    """A report of each numeric field as a CSV file with a header, named for view and field.
+
+    One job sorts the report of all fields; its rows, one a marker and field, are written as they arrive.
+    """
     if not marker_paths:
         return []
-    cells = markers.summaries(markers.read_markers(spark, marker_paths)).cache()
+    cells = markers.summaries(markers.checked(markers.read_markers(spark, marker_paths)))
     markers.validate_summaries(cells)
     view = cells.select("view").first()["view"]
+    stem = f"{folder}/summary_{re.sub(r'[^A-Za-z0-9._-]+', '_', view.strip('/'))}"
     report = markers.summary_report(cells)
-    written = []
-    for r in cells.where("numeric").select("pos").distinct().orderBy("pos").collect():
-        path = f"{folder}/summary_{re.sub(r'[^A-Za-z0-9._-]+', '_', view.strip('/'))}_{r['pos']}.csv"
-        report.where(F.col("pos") == r["pos"]).drop("pos").orderBy("start-date", "end-date").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-        written.append(path)
-    cells.unpersist()
+    header = [c for c in report.columns if c != "pos"]
+    written: list[str] = []
+    for pos, rows in groupby(report.orderBy("pos", "start-date", "end-date").toLocalIterator(), key=lambda r: r["pos"]):
+        written.append(f"{stem}_{pos}.csv")
+        markers.write_lines(spark, written[-1], chain([",".join(header)], (",".join(r[c] for c in header) for r in rows)))
     return written

@@ -12,6 +12,8 @@ The result of the readers has the columns ``file``, ``bad`` and ``fields``, the
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -58,32 +60,38 @@ def parse_lines(lines: DataFrame, file_format: str = "delimited-text", separator
 
 
 def read_files(spark: SparkSession, paths: list[str], file_format: str = "delimited-text", separator: str = "|", line_bound: int = LINE_BOUND) -> DataFrame:
-    """Rows of explicit files.  Spark's text source passes over names that start with a dot; those are read by the driver, one at a time."""
-    hidden = [p for p in paths if p.rpartition("/")[2].startswith(".")]
-    plain = [p for p in paths if p not in set(hidden)]
-    parts = []
-    if plain:
-        parts.append(spark.read.option("lineSep", "\n").text(plain).select(F.col("_metadata.file_path").alias("file"), "value"))
-    if hidden:
-        parts.append(_hidden_lines(spark, hidden))
-    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    """Rows of explicit files.  Spark's sources pass over names that start with a dot; those are copied under plain names first."""
+    hidden = {p for p in paths if p.rpartition("/")[2].startswith(".")}
+    copies = _plain_copies(spark, sorted(hidden)) if hidden else {}
+    lines = spark.read.option("lineSep", "\n").text([copies.get(p, p) for p in paths]).select(F.col("_metadata.file_path").alias("file"), "value")
+    if copies:
+        names = F.create_map(*[F.lit(x) for p, c in copies.items() for x in (c.rpartition("/")[2], p)])
+        lines = lines.withColumn("file", F.coalesce(names[F.substring_index("file", "/", -1)], F.col("file")))
     return parse_lines(lines, file_format, separator, line_bound)
 
 
-def _hidden_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of dot-files, which no source of Spark's reads: meant for the odd small file."""
-    lines = None
-    for p in paths:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        stream = fs.open(path)
-        try:
-            text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
-        rows = text.split(b"\n")
-        rows = rows[:-1] if rows and not rows[-1] else rows
-        df = spark.createDataFrame([(p, bytearray(r)) for r in rows], "file string, raw binary").select("file", F.col("raw").cast("string").alias("value"))
-        lines = df if lines is None else lines.unionByName(df)
-    return lines
+def _plain_copies(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Copies of dot-files, streamed from file system to file system, in the folder that all executors share; they go when the driver ends."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = f"{shared_folder(spark)}/plain-{uuid.uuid4().hex}"
+    out = {}
+    for i, p in enumerate(paths):
+        src, dst = jvm.org.apache.hadoop.fs.Path(p), jvm.org.apache.hadoop.fs.Path(f"{folder}/{i}-{p.rpartition('/')[2].lstrip('.') or 'file'}")
+        if not jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, dst.getFileSystem(conf), dst, False, conf):
+            raise OSError(f"{p} can't be copied")
+        out[p] = dst.toString()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(conf).deleteOnExit(place)
+    return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="gaugeline-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

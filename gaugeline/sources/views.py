@@ -41,6 +41,19 @@ def parse_view_file(path: str) -> ViewFile | None:
     return ViewFile(m[1], f"{m[2]}-{m[3]}-{m[4]}", m[5]) if m else None
 
 
+def without_view(view: str, path: str) -> str | None:
+    """The path below the view's root; null for one that isn't below it."""
+    root = view.rstrip("/") + "/"
+    return path[len(root) :] if path.startswith(root) and len(path) > len(root) else None
+
+
+def join_folders(parts: list[str]) -> str:
+    """Folders and a name as one path; empty parts and slashes at the seams fall away, a leading slash stays."""
+    kept = [p for p in parts if p.strip("/")]
+    lead = "/" if kept and parts[0].startswith("/") else ""
+    return lead + "/".join(p.strip("/") for p in kept)
+
+
 def partition_date(path: Column) -> Column:
     """The date in a file's path, null outside the layout."""
     return F.try_to_date(F.concat_ws("-", *[F.nullif(F.regexp_extract(path, PARTITION, i), F.lit("")) for i in (2, 3, 4)]), "yyyy-MM-dd")
