@@ -3,16 +3,23 @@
 Pages of one host are laid over a reference page of that host by simple tree matching: two nodes match if their
 labels agree and their children, in order, match as well as they can.  A reference node that has the same text on
 nearly all pages laid over it is template; places whose text varies are slots.  The template of a host is the
-reference's tree with counts from *all* of the host's pages, where pages of one content count once: copies of an
-article don't make it template.  Copies are dealt by content and counts added up before they are shuffled, so a host
-with a third of all pages is no heavier than one with ten.  The slot region with the most varying text that isn't link
-text is the host's main region; an explicit article element takes precedence, for its contents can be constant
-(copies of one article) without being template.
+reference's tree with counts from *all* of the host's pages.  Pages with the same longest block have one vote
+together: copies and near copies of an article don't make it template.  Copies are dealt by that block and counts
+added up before they are shuffled, so a host with a third of all pages is no heavier than one with ten.
 
-Text: character references decoded, white space within a block one space, blocks joined by line feeds.
+The main region is where the slots are: down from the reference's root as long as one child has most of the varying text
+that isn't link text.  Article elements are a labelled candidate: they are the region where the host's counts put most
+of the varying text into them, or where there are too few pages to count; else the induced region is.  A page of a
+host without a template or article goes by names that sites give to their content, then by density.  Within the region,
+of whichever origin, constant nodes go, unless they are a large part of it: template is little beside an article.
+
+Text: character references decoded, white space within a block one space, blocks joined by line feeds.  Within the
+region paragraphs stay whatever their names; containers go if their names, or a heading over them, say that they are
+another part.  Formulas, captions and the text of embedded objects are text; what a browser shows only in place of media
+that it can't play is not.
 
 Defined cases: null and empty html give an empty text; a url without a host forms a host of its own ("");
-a host with one page has no template, so only the page's own structure speaks; rows that repeat are kept; damaged
+a host with few pages has no template, so only the page's own structure speaks; rows that repeat are kept; damaged
 markup closes where its parent closes.
 """
 
@@ -29,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Roles of elements and names that sites give to parts that aren't the article.
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-DROPPED = frozenset("head nav aside footer form button select dialog menu figure object audio video canvas input fieldset".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+DROPPED = frozenset("head nav aside footer form button select dialog menu audio video canvas input fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_NEXT = {"p": frozenset("p div ul ol dl table section article aside header footer nav main form pre blockquote h1 h2 h3 h4 h5 h6 hr figure fieldset address li dd dt".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 OTHER_PARTS = re.compile(
@@ -40,6 +47,13 @@ OTHER_PARTS = re.compile(
     r"comment\w*|disqus|respon[ds]\w*|discussion|replies|share|sharing|social|related|recommend\w*|login|signup|search\w*|toolbar|pagination|pager|skip\w*|tags?|byline-actions|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
+#: Names of containers, in parts between hyphens, that are no part of an article even within it; the first few also for paragraphs.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored notice".split())
+WITHIN = ADVERTS | frozenset("promo comment comments disqus respond responses replies discussion newsletter subscribe paywall share sharing social related recommended recommendations sidebar nav navbar navigation menu breadcrumb breadcrumbs consent popup modal overlay widget pagination pager login signup".split())
+COMMENTS = frozenset("comment comments reply replies disqus respond responses discussion".split())
+CONTENT = frozenset("article post entry hentry story".split())
+PARAGRAPHS = frozenset("p li dt dd blockquote pre td th tr figure figcaption caption address object h1 h2 h3 h4 h5 h6".split())
+COMMENT_HEADING = re.compile(r"\s*(?:[0-9]+\s+)?(?:(?:reader|user)s?'?\s+)?(?:comments?|replies|responses|discussion|kommentare|commentaires|comentarios)\b.{0,20}\Z", re.I | re.S)
 MAIN_PARTS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body-text|article-body)(?:$|[\s_-])", re.I)
 OTHER_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar".split())
 
@@ -48,6 +62,8 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _BLANK = re.compile(r"\s+")
 #: A reference node is template if this share of the pages laid over it have its text, of at least so many pages.
 SAME_SHARE, LEAST_PAGES = 0.7, 3
+#: Share of a host's varying text that makes its article elements the region; share of a region that can be template.
+ARTICLE_SHARE, MOST_CONSTANT = 0.5, 1 / 3
 #: Elements deeper than this are flattened.
 DEPTH = 150
 #: Templates are broadcast up to this many bytes in all; beyond, they are joined by host.
@@ -81,6 +97,8 @@ def _attributes(raw: str) -> tuple[str, str, bool]:
         k = key.lower()
         if k in ("class", "id"):
             names.append(a or b or c)
+        elif k in ("itemprop", "itemtype") and "comment" in (a or b or c).lower():
+            names.append("comment")
         elif k == "role":
             role = (a or b or c).lower()
         elif k == "style":
@@ -160,11 +178,36 @@ def own_text(node: Node) -> str:
     return node.text
 
 
+_SEAMS = re.compile(r"[\s_-]+")
+
+
+def _parts(names: str) -> frozenset[str]:
+    return frozenset(_SEAMS.split(names.lower()))
+
+
+def is_comment(node: Node) -> bool:
+    """Reader comments, by name or by the heading over them."""
+    tokens = node.names.lower().split()
+    if any(_SEAMS.split(t)[0] in COMMENTS for t in tokens) and CONTENT.isdisjoint(tokens):
+        return True
+    first = next(iter(node.nodes), None)
+    return node.tag in ("div", "section", "article") and first is not None and first.tag in HEADINGS and bool(COMMENT_HEADING.match(own_text(first)))
+
+
 def other_part(node: Node, inside: bool) -> bool:
-    """By element and names: is this not the article?  ``inside``: within an article element."""
+    """By element, names and headings: is this not the article?  ``inside``: within the main region."""
     if node.tag in DROPPED or node.tag == "header" and not inside:
         return True
-    return bool(node.names) and bool(OTHER_PARTS.search(node.names)) and node.tag != "article" and not (inside and MAIN_PARTS.search(node.names))
+    if not inside:
+        return bool(node.names) and bool(OTHER_PARTS.search(node.names)) and node.tag != "article" or is_comment(node)
+    if not node.names and node.tag not in ("div", "section", "article"):
+        return False
+    names = _parts(node.names) if node.names else frozenset()
+    if node.tag in PARAGRAPHS:
+        return not ADVERTS.isdisjoint(names)
+    if "cookie" in names and not names.isdisjoint(("banner", "bar", "policy", "message")):
+        return True
+    return not WITHIN.isdisjoint(names) and not MAIN_PARTS.search(node.names) or is_comment(node)
 
 
 def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
@@ -238,46 +281,56 @@ def skeleton(html: str) -> str:
 
 
 class Template:
-    """A host's reference tree; with counts, also its constant nodes and its main region."""
+    """A host's reference tree; with counts, also its constant nodes, its main region and whether articles are it."""
 
     def __init__(self, tree: str, counts: list[tuple[int, int, int, int]] = ()):
         counter = [0]
         self.root = _load(json.loads(tree), counter)
-        matched = {i: (n, same, varying) for i, n, same, varying in counts}
-        pages = matched.get(0, (0, 0, 0))[0]
-        self.constant = {i for i, (n, same, _) in matched.items() if n >= LEAST_PAGES and same >= SAME_SHARE * n}
-        self.region = self._main(self.root, matched).id if pages >= LEAST_PAGES else -1
-
-    def _main(self, node: Node, counts: dict) -> Node:
+        self._counts = {i: (n, same, varying) for i, n, same, varying in counts}
+        self.pages = self._counts.get(0, (0, 0, 0))[0]
+        self.constant, self.region, self.articles = frozenset(), -1, True
+        if self.pages >= LEAST_PAGES:
+            self.constant = frozenset(i for i, (n, same, _) in self._counts.items() if n >= LEAST_PAGES and same >= SAME_SHARE * n)
+            self.region = self._main(self.root).id
+            whole, held = self._weight(self.root), sum(map(self._weight, _article(self.root, self._weight)))
+            self.articles = not whole or held >= ARTICLE_SHARE * whole
+
+    def _weight(self, node: Node) -> int:
+        """Varying text below a node, over all pages."""
+        return 0 if other_part(node, False) else self._counts.get(node.id, (0, 0, 0))[2] + sum(map(self._weight, node.nodes))
+
+    def _main(self, node: Node) -> Node:
         """Down from the root, as long as one child has most of the varying text."""
-
-        def weight(x: Node) -> int:
-            return 0 if other_part(x, False) else counts.get(x.id, (0, 0, 0))[2] + sum(map(weight, x.nodes))
-
         while node.nodes:
-            whole = weight(node)
-            top = max(node.nodes, key=weight)
-            if top.tag in ("p", "li", "td", "tr", *HEADINGS) or weight(top) < 0.8 * whole or not whole:
+            whole = self._weight(node)
+            top = max(node.nodes, key=self._weight)
+            if top.tag in PARAGRAPHS or self._weight(top) < 0.8 * whole or not whole:
                 break
             node = top
         return node
 
 
-def _article(root: Node) -> list[Node]:
-    """Explicit article elements that aren't within another part: all of them, or the main element."""
+def _article(root: Node, size=None) -> list[Node]:
+    """Article elements that aren't within another part, or the main element.  Of several articles those with at least half
+    as much text as the longest: teasers and remarks are shorter."""
     found: list[Node] = []
     main: list[Node] = []
 
     def walk(node: Node) -> None:
         for c in node.nodes:
+            if other_part(c, False):
+                continue
             if c.tag == "article":
                 found.append(c)
-            elif not other_part(c, False):
+            else:
                 if c.tag == "main":
                     main.append(c)
                 walk(c)
 
     walk(root)
+    if len(found) > 1:
+        sizes = list(map(size or _size, found))
+        found = [x for x, n in zip(found, sizes, strict=True) if 2 * n >= max(sizes)]
     return found or main
 
 
@@ -305,7 +358,7 @@ def _densest(root: Node) -> Node:
     node = root
     while node.nodes:
         top = max(node.nodes, key=_size)
-        if top.tag in ("p", "li", "td", "tr", *HEADINGS) or _size(top) < 0.8 * _size(node) or not _size(node):
+        if top.tag in PARAGRAPHS or _size(top) < 0.8 * _size(node) or not _size(node):
             break
         node = top
     return node
@@ -342,23 +395,38 @@ def blocks_of(node: Node, constant: set[int], inside: bool) -> list[str]:
 
 def extract(html: str | None, template: Template | None = None) -> str:
     """Main text of a page, with its host's template if there is one."""
+    return extract_with(html, template)[0]
+
+
+def extract_with(html: str | None, template: Template | None = None) -> tuple[str, str, int]:
+    """(text, how the region was found, number of constant blocks in the page)"""
     if not html:
-        return ""
+        return "", "none", 0
     root = parse(html)
-    articles = _article(root)
-    if articles:
-        # What an article element holds is the article, also where a host serves copies of it.
-        return "\n".join(t for a in articles for t in blocks_of(a, set(), True))
     pairs: list[tuple[Node, Node]] = []
     constant: set[int] = set()
     region = None
-    if template is not None:
+    if template is not None and template.pages >= LEAST_PAGES:
         match(root, template.root, pairs)
         constant = {id(x) for x, r in pairs if r.id in template.constant and _text_key(x) == r.text}
         region = next((x for x, r in pairs if r.id == template.region), None)
-    region = _named(root) or (region if region is not None and _size(region) else _densest(root))
-    # A region that is constant as a whole is the page's text all the same.
-    return "\n".join(blocks_of(region, constant, False) or blocks_of(region, set(), False))
+        if region is not None and not _size(region):
+            region = None
+    constant_blocks = sum(id(x) in constant and bool(own_text(x)) for x, _ in pairs)
+    # The template says whether the host's articles are its content; a page with articles that the template has no place for speaks for itself.
+    regions = _article(root) if template is None or template.articles or region is None else []
+    how = "article"
+    if not regions:
+        named = _named(region or root)
+        how = "named" if named else "template" if region is not None else "density"
+        regions = [named or region or _densest(root)]
+    inside = how == "article"
+    whole = [t for x in regions for t in blocks_of(x, set(), inside)]
+    kept = [t for x in regions for t in blocks_of(x, constant, inside)]
+    # Constants are little beside an article; where they are much, the pages are alike in their content.
+    if sum(map(len, kept)) < (1 - MOST_CONSTANT) * sum(map(len, whole)) and (inside or not kept):
+        kept = whole
+    return "\n".join(kept), how, constant_blocks
 
 
 def host_of(url: Column) -> Column:
@@ -384,7 +452,7 @@ def references(pages: DataFrame) -> DataFrame:
 
 
 def _overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, host and content: the reference nodes that a page is laid over, packed as (node, same, varying)."""
+    """Per batch, host and longest block: the reference nodes that a page is laid over, packed as (node, same, varying)."""
     for b in batches:
         trees: dict[str, Template] = {}
         found: dict[tuple[str, bytes], bytes] = {}
@@ -401,7 +469,7 @@ def _overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, r in pairs:
                 same = _text_key(x) == r.text
                 rows.append((r.id, same, 0 if same else max(0, len(own_text(x)) - x.link_chars)))
-            key = host, hashlib.blake2b("\n".join(blocks_of(root, set(), False)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            key = host, hashlib.blake2b(max(blocks_of(root, set(), False), key=len, default="").encode("utf-8", "surrogatepass"), digest_size=16).digest()
             laid = np.array(rows, dtype="<u4").tobytes()
             found[key] = min(laid, found.get(key, laid))
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary()), pa.array(list(found.values()), pa.binary())], names=["host", "content", "laid"])
@@ -433,20 +501,22 @@ def induce(pages: DataFrame) -> DataFrame:
 
 
 def add_main_text(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """(page_id, url, text) of pages with a column host, given their hosts' templates."""
+    """(page_id, url, text, region, constant_blocks) of pages with a column host, given their hosts' templates: the main text, how
+    its region was found and how many blocks of the page are template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known: dict[str, Template | None] = {}
-            out = []
+            out: list[tuple[str, str, int]] = []
             for host, html, tree, counts in zip(*(b.column(n).to_pylist() for n in ("host", "html", "tree", "counts")), strict=True):
                 if host not in known:
                     known[host] = Template(tree, [tuple(c) for c in json.loads(counts)]) if tree and counts else None
-                out.append(extract(html, known[host]))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+                out.append(extract_with(html, known[host]))
+            text, how, constant = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(how, pa.string()), pa.array(constant, pa.int32())], names=["page_id", "url", "text", "region", "constant_blocks"])
 
     given = _with_templates(pages.select("page_id", "url", "html", "host"), templates, ["tree", "counts"]).select("page_id", "url", "html", "host", "tree", "counts")
-    return given.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return given.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, region string, constant_blocks int")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -455,4 +525,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     text = add_main_text(hosted, materialise(induce(hosted), "templates"))
-    return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+    return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "region", "constant_blocks")

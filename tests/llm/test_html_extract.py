@@ -60,6 +60,52 @@ def test_copies_are_not_template(spark):
     assert got == {k: text(i) for k, i in enumerate(mixed)} | {100 + k: text(9) for k in range(3)} | {200 + k: text(7) for k in range(4)}
 
 
+def test_what_belongs_to_an_article():
+    for page, text in (
+        ("<article><p>main</p></article><article class='comment'><p>reader</p></article>", "main"),
+        ("<article><p>main</p><article class='comment-body'><p>reader</p></article><div id=comments><p>r</p></div></article>", "main"),
+        ("<article><p>main text of some length</p></article><article itemprop='comment'><p>a reader's text of some length and more</p></article>", "main text of some length"),
+        ("<article><p>main text</p><section><h3>3 Comments</h3><p>reader one</p><p>reader two</p></section></article>", "main text"),
+        ("<article class='post has-comments'><p>main</p></article>", "main"),
+        ("<article><p class='legal'>a</p><p class='search-results'>b</p><p class='cookie-recipe'>c</p><div class='cookie-recipe'>d</div></article>", "a\nb\nc\nd"),
+        ("<article><p class=ad>x</p><div class='ad-slot'>x</div><p>E=<math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math></p></article>", "E=mc2"),
+        ("<article><p>a</p><figure><img src=x><figcaption>The <b>caption</b></figcaption></figure><object>table as text</object></article>", "a\nThe caption\ntable as text"),
+        ("<article><h2>Teaser one</h2></article><article><h1>T</h1><p>a whole long article of many words</p></article>", "T\na whole long article of many words"),
+    ):
+        assert hx.extract(page) == text, page
+
+
+def test_the_template_decides(spark):
+    """Constant blocks go by counts, whatever their names, within article elements too; articles that hold little of the varying
+    text aren't the region; near copies don't make a template."""
+    rnd = random.Random(3)
+    prose = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        a, b = prose(30), prose(40)
+        rows.append((i, "http://inside.example.com/", f"<article><h1>T{i}</h1><p>{a}</p><p>Buy our paper today</p><p>{b}</p><div class=box>All rights reserved by us</div></article>"))
+        want[i] = f"T{i}\n{a}\n{b}"
+        rows.append((100 + i, "http://cards.example.com/", f"<div class=a1><article><p>Card {i}</p></article></div><div class=b7><p>{a}</p><p>{b}</p></div>"))
+        want[100 + i] = f"{a}\n{b}"
+    paragraphs = [prose(20) for _ in range(6)]
+    for i in range(10):  # near copies of one article
+        mine = [*paragraphs[:5], paragraphs[5] + f" end{i}"]
+        rows.append((200 + i, "http://near.example.com/", "<article>" + "".join(f"<p>{p}</p>" for p in mine) + "</article>"))
+        want[200 + i] = "\n".join(mine)
+    got = {r["page_id"]: r for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert {r["region"] for k, r in got.items() if k < 100} == {"article"} and {r["region"] for k, r in got.items() if 100 <= k < 200} == {"template"}
+    assert all(r["constant_blocks"] == 2 for k, r in got.items() if k < 100)
+
+
+def test_pages_of_the_table(spark):
+    """The template is counted on the table's hosts, confirms their articles and takes nothing out of them."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r for r in hx.extract_pages(pages).collect()}
+    assert len(got) == pages.count() and {r["region"] for r in got.values()} == {"article"}
+    assert {k: r["text"] for k, r in got.items()} == {r["page_id"]: hx.extract(r["html"]) for r in pages.collect()}
+
+
 def test_named_content():
     page = "<div id=wrap><div class=top>Site and a few words more</div><div class='post-content'><h2>T</h2><p>one two three four five six seven</p><div class=share>Share</div></div><p>After</p></div>"
     assert hx.extract(page) == "T\none two three four five six seven"
