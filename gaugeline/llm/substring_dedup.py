@@ -80,17 +80,26 @@ def _windows(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct prefix hashes that stand for windows here, and whether more than one place has them."""
+    """Distinct prefix hashes that stand for windows here, and how many different stretches of words they stand in: two at
+    least where more than one place has them, 255 at most."""
     starts, least = _windows(block)
     if not len(starts):
-        return least, np.zeros(0, dtype=bool)
+        return least, np.zeros(0, dtype=np.uint8)
     g = block.runs(PREFIX)
     top = np.zeros(len(g) + _REACH - 1, dtype=np.uint64)
     top[starts + _REACH - 1] = least
     # A place is chosen if some window over it has it as its least: the greatest least of those windows.
-    chosen = g[_sliding(top, _REACH, False)[: len(g)] == g]
-    values, counts = np.unique(chosen, return_counts=True)
-    return values, counts > 1
+    place = np.flatnonzero(_sliding(top, _REACH, False)[: len(g)] == g)
+    text = np.searchsorted(block.first, place, side="right") - 1
+    around = block.between(np.maximum(place - (WINDOW - PREFIX), block.first[text]), np.minimum(place + WINDOW, block.first[text + 1]))
+    # Least hashes are small numbers; mixed once more they spread over partitions and bitmaps.
+    value = mix(g[place])
+    order = np.lexsort((around, value))
+    value, around = value[order], around[order]
+    lo = np.flatnonzero(_heads(value))
+    places = np.diff(np.concatenate([lo, [len(value)]]))
+    kinds = np.add.reduceat(_heads(value, around).astype(np.int64), lo)
+    return value[lo], np.clip(kinds, np.minimum(places, 2), 255).astype(np.uint8)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block, int]]:
@@ -107,14 +116,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def _prefix_rows(digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, _ in _parts(batches):
-            values, several = _anchors(block)
+            values, times = _anchors(block)
             bucket = (values >> np.uint64(64 - digits)).astype(np.int64)
             rest = ((values << np.uint64(digits)) >> np.uint64(32)).astype("<u4")
             edges = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]])
             ids, payload = [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 ids.append(int(bucket[lo]))
-                payload.append(np.concatenate([rest[lo:hi], rest[lo:hi][several[lo:hi]]]).tobytes())
+                payload.append(rest[lo:hi].tobytes() + times[lo:hi].tobytes())
             if ids:
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(ids, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
@@ -123,22 +132,26 @@ def _prefix_rows(digits: int):
 
 def extending_prefixes(docs: DataFrame, digits: int) -> tuple[bytes, bytes, int]:
     """Bitmaps over the first MAP_BITS bits of a prefix hash: set where two or more suffixes share the prefix, and where more
-    than HOT_RUNS do; and the number of suffixes, counted once or twice a block, of the former."""
+    than HOT_RUNS do; and how many runs of suffixes have the former."""
     sent = docs.select("text").mapInArrow(_prefix_rows(digits), "bucket int, payload binary")
     below = MAP_BITS - digits
     hot_runs = HOT_RUNS
 
     def several(key, table):
-        x = np.sort(np.frombuffer(b"".join(table.column("payload").to_pylist()), dtype="<u4"))
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]])
-        times = np.diff(edges)
+        data = table.column("payload").to_pylist()
+        x = np.concatenate([np.frombuffer(d, dtype="<u4", count=len(d) // 5) for d in data])
+        n = np.concatenate([np.frombuffer(d, dtype="u1", offset=len(d) // 5 * 4) for d in data]).astype(np.int64)
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        lo = np.flatnonzero(_heads(x))
+        times = np.add.reduceat(n[order], lo)
         out = []
         for least in (1, hot_runs):
             bits = np.zeros(1 << below, dtype=bool)
-            bits[x[edges[:-1][times > least]] >> np.uint32(32 - below)] = True
+            bits[x[lo[times > least]] >> np.uint32(32 - below)] = True
             out.append(np.packbits(bits).tobytes())
-        n = int(times[times > 1].sum())
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array(out[:1], pa.binary()), "hot": pa.array(out[1:] if n > hot_runs else [None], pa.binary()), "n": pa.array([n], pa.int64())})
+        total = int(times[times > 1].sum())
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array(out[:1], pa.binary()), "hot": pa.array(out[1:] if total > hot_runs else [None], pa.binary()), "n": pa.array([total], pa.int64())})
 
     whole, hot, total = bytearray(1 << (MAP_BITS - 3)), bytearray(1 << (MAP_BITS - 3)), 0
     width = 1 << (below - 3)
@@ -237,6 +250,7 @@ def _suffix_rows(digits: int, shared):
 
         for rows, block, offset in _parts(batches):
             starts, least = _windows(block)
+            least = mix(least)
             keep = _is_set(repeats, least)
             starts, least = starts[keep], least[keep]
             if not len(starts):
@@ -313,7 +327,7 @@ def _places(counts: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One number for each distinct pair."""
-    return pd.factorize(a * (int(b.max()) + 1) + b)[0]
+    return pd.factorize(a.astype(np.int64) * (int(b.max()) + 1) + b)[0].astype(np.int32)
 
 
 def nodes_of(words: list[bytes], starts: np.ndarray) -> np.ndarray:
@@ -323,18 +337,19 @@ def nodes_of(words: list[bytes], starts: np.ndarray) -> np.ndarray:
     """
     parts = [pc.split_pattern(pa.array([x.decode()[:-1]], pa.large_string()), " ").values.dictionary_encode() for x in words]
     level = pa.chunked_array(parts).unify_dictionaries()
-    level = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in level.chunks]).astype(np.int64)
+    level = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in level.chunks])
     wanted = {1: None, 2: range(0, WINDOW, 2), 4: range(0, WINDOW, 4), 8: (0, 8), 16: (0,)}
-    kept = {}
+    four = level
     for depth in (2, 4, 8, 16):
         need = np.zeros(len(level), dtype=bool)
         for k in wanted[depth]:
             need[starts + k] = True
         at = np.flatnonzero(need)
-        made = np.zeros(len(level), dtype=np.int64)
+        made = np.zeros(len(level), dtype=np.int32)
         made[at] = _numbered(level[at], level[at + depth // 2])
-        level = kept[depth] = made
-    return _numbered(kept[16][starts], kept[4][starts + 16])
+        level = made
+        four = made if depth == 4 else four
+    return _numbered(level[starts], four[starts + 16])
 
 
 def _marks(key, table):
