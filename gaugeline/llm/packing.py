@@ -4,6 +4,8 @@ Documents become token ids plus an end id; longer ones than a sequence are cut.
 whose size is that of a sequence at most, decides everything else on the driver: multiplicative weights solve the
 configuration program over length classes, with knapsack dynamic programming pricing the next configuration; its
 solution is rounded down to whole sequences, and what is left over goes to the fullest sequence that it fits.
+Several roundings are made, over classes of lengths and, where lengths are few, over the lengths themselves; the one
+with the fewest sequences is the plan.
 The plan is a list of (number of sequences, lengths in each), so its size doesn't follow the number of pieces.
 Pieces take the plan's slots by their rank among pieces of equal length, counted in salted groups.
 
@@ -32,8 +34,11 @@ END_ID = 0
 ROWS_PER_RANK = 20_000
 #: Lengths are rounded up to this many tokens in the linear program.
 GRAIN = 8
-#: Share of the program's sequences that rounding takes over; the others' pieces fill what those leave open.
-SURELY = 0.85
+#: Shares of the program's sequences that rounding may take over; the others' pieces fill what those leave open.
+SURELY = (0.85, 1.0)
+#: Distinct lengths up to which the program is solved over the lengths themselves, and pieces from which on what is left of
+#: such a program is solved again.
+EXACT_LENGTHS, SOLVED_AGAIN = 64, 200
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 #: Code points whose class (letter, space, other) no version of Unicode or of a pattern library disputes.
@@ -192,36 +197,23 @@ def best_fit(left: dict[int, int], groups: list[tuple[int, tuple[int, ...]]], ca
     return [g for some in by_room.values() for g in some]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths in each) for all pieces of the histogram."""
-    left = {k: v for k, v in histogram.items() if v > 0}
-    groups: list[tuple[int, tuple[int, ...]]] = []
-    if full := left.pop(capacity, 0):
-        groups.append((full, (capacity,)))
-    if not left:
-        return groups
-    grain = max(1, min(grain, capacity // 64))
-    room = capacity // grain
-    by_class: dict[int, list[int]] = {}
-    for length in sorted(left, reverse=True):
-        by_class.setdefault(-(-length // grain), []).append(length)
-    # A class that rounds up past the room still fits a sequence alone.
-    sizes = np.array([min(c, room) for c in sorted(by_class)])
-    classes = sorted(by_class)
-    need = np.array([sum(left[x] for x in by_class[c]) for c in classes], dtype=float)
-    program = solve_program(need, sizes, room)
+def _taken(program: dict, left: dict[int, int], sizes: np.ndarray, lengths_of: list[list[int]], surely: float, open_last: bool) -> tuple[dict[int, int], list[tuple[int, tuple[int, ...]]]]:
+    """The program's configurations in whole numbers, with actual lengths; what is left, and the sequences.
+
+    Full configurations come first, as often as the program says and the pieces last.  With ``open_last`` a configuration's
+    last place stays open: what rounding lengths up to classes has hidden there shows only with actual lengths, by best fit.
+    """
+    left = dict(left)
     opened: list[tuple[int, tuple[int, ...]]] = []
-    # Full configurations first, as often as the program says and the pieces last.  A configuration's last place
-    # stays open: what rounding lengths up to classes has hidden there shows only with actual lengths, by best fit.
     for key, amount in sorted(program.items(), key=lambda kv: (-sum(sizes[c] * k for c, k in kv[0]), -kv[1], kv[0])):
-        many = int(amount * SURELY)
+        many = int(amount * surely + 1e-9)
         small = min((c for c, _ in key), key=lambda c: sizes[c])
-        wanted = [(c, k - (c == small)) for c, k in key] if sum(k for _, k in key) > 1 else list(key)
+        wanted = [(c, k - (c == small)) for c, k in key] if open_last and sum(k for _, k in key) > 1 else list(key)
         while many > 0:
             # Lengths of each class from its longest that is left, for as many sequences as nothing runs out in.
             items, uses, short = [], {}, False
             for c, k in wanted:
-                for length in by_class[classes[c]]:
+                for length in lengths_of[c]:
                     if got := min(k, left.get(length, 0)):
                         items += [length] * got
                         uses[length] = got
@@ -234,7 +226,63 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
                 left[x] -= u * times
             opened.append((times, tuple(items)))
             many -= times
-    return groups + best_fit({k: v for k, v in left.items() if v}, opened, capacity)
+    return {k: v for k, v in left.items() if v}, opened
+
+
+def _classes(left: dict[int, int], grain: int, room: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Need, size and lengths (longest first) of each class; a class that rounds up past the room still fits a sequence alone."""
+    by_class: dict[int, list[int]] = {}
+    for length in sorted(left, reverse=True):
+        by_class.setdefault(-(-length // grain), []).append(length)
+    classes = sorted(by_class)
+    return np.array([sum(left[x] for x in by_class[c]) for c in classes], dtype=float), np.array([min(c, room) for c in classes]), [by_class[c] for c in classes]
+
+
+def _sequences(groups: list[tuple[int, tuple[int, ...]]]) -> int:
+    return sum(n for n, _ in groups)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int, tuple[int, ...]]]:
+    """(number of sequences, lengths in each) for all pieces of the histogram: the best of several roundings of the program."""
+    left = {k: v for k, v in histogram.items() if v > 0}
+    groups: list[tuple[int, tuple[int, ...]]] = []
+    if full := left.pop(capacity, 0):
+        groups.append((full, (capacity,)))
+    if not left:
+        return groups
+    plans = [best_fit(left, [], capacity)]
+    if len(left) <= EXACT_LENGTHS:
+        plans.append(_solved_again(left, capacity))
+    grain = max(1, min(grain, capacity // 64))
+    room = capacity // grain
+    need, sizes, lengths_of = _classes(left, grain, room)
+    program = solve_program(need, sizes, room)
+    for surely in SURELY:
+        for open_last in (True, False):
+            rest, opened = _taken(program, left, sizes, lengths_of, surely, open_last)
+            plans.append(best_fit(rest, opened, capacity))
+    return groups + min(plans, key=_sequences)
+
+
+def _solved_again(left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The program over the lengths themselves, whose units are their greatest common divisor; whole sequences are taken and the
+    program of what is left is solved again, until little is left."""
+    unit = int(np.gcd.reduce([*left]))
+    room = capacity // unit
+    opened: list[tuple[int, tuple[int, ...]]] = []
+    best: list[tuple[int, tuple[int, ...]]] | None = None
+    while left:
+        need, sizes, lengths_of = _classes(left, unit, room)
+        rest, more = _taken(solve_program(need, sizes, room, most=1500), left, sizes, lengths_of, 1.0, False)
+        done = best_fit(left, list(opened), capacity)
+        best = done if best is None or _sequences(done) < _sequences(best) else best
+        opened += more
+        if not more or sum(rest.values()) < SOLVED_AGAIN:
+            left = rest
+            break
+        left = rest
+    done = best_fit(left, opened, capacity)
+    return done if best is None or _sequences(done) < _sequences(best) else best
 
 
 def slots_of(groups: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -68,3 +68,30 @@ def test_plan_covers_histogram():
                 placed[x] += n
         assert placed == histogram
         assert sum(n for n, _ in groups) <= max(-(-sum(lengths) // 64), sum(lengths > 32)) * 1.01 + 1
+
+
+def test_lumpy_lengths_take_the_program_whole():
+    """Few lengths: the program's sequences are taken as they are."""
+    for histogram, best in (({1025: 1000, 1023: 700, 700: 900, 600: 900}, 1500), ({1024: 999}, 500), ({683: 3000, 682: 1500, 1366: 700}, 2200)):
+        groups = packing.plan(histogram)
+        placed = Counter()
+        for n, items in groups:
+            assert sum(items) <= packing.CAPACITY
+            for x in items:
+                placed[x] += n
+        assert placed == histogram and sum(n for n, _ in groups) == best
+
+
+def test_ids_of_common_characters():
+    """The faster library is used only where it gives the named tokenizer's ids: every character that it may see, in every
+    neighbourhood of kinds, and runs at the bound."""
+    enc = packing.default_encoder()
+    whole = lambda t: enc.whole.encode(t, add_special_tokens=False).ids
+    common = [chr(i) for i in np.flatnonzero(packing._COMMON)]
+    rnd = random.Random(8)
+    texts = [a + c + b for c in common for a in ("", "a", " ", "1", ".", "\n", "é") for b in ("", "b", " ", "2", "'s", "\t\n")]
+    texts += ["".join(rnd.choices(common, k=rnd.randint(1, 60))) for _ in range(20_000)]
+    texts += [c * n for c in " \na1.'é" for n in (packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1)]
+    assert sum(map(enc.plain, texts)) > 0.99 * len(texts)
+    for t in texts:
+        assert list(enc.ids(t)) == whole(t), t
