@@ -29,9 +29,13 @@ def ship_code(spark: SparkSession) -> None:
         spark.conf.set(BATCH_ROWS, str(ROWS_PER_BATCH))
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
-    known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
-    if root in known or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
+    if is_local(spark):
+        # Workers are children of this process: they see what PYTHONPATH and the working directory show.
+        known = {Path(p).resolve() for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
+        if root in known:
+            return
     _shipped.add(sc.applicationId)
     package = Path(tempfile.mkdtemp(prefix="gaugeline-code-")) / "gaugeline.zip"
     with zipfile.ZipFile(package, "w") as z:
@@ -40,6 +44,18 @@ def ship_code(spark: SparkSession) -> None:
     sc.addPyFile(str(package))
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all runs in this machine's one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """The same rows, once executors have this package: functions take note of shipped code when they are handed to Spark,
+    so every operator that runs Python begins with this."""
+    ship_code(df.sparkSession)
+    return df
+
+
 _shipped: set[str] = set()
 
 
@@ -49,9 +65,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the setting is absent (tests, local runs)."""
+    """The shared folder of the cluster; a temporary one only where the setting is absent and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="gaugeline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

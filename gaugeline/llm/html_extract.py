@@ -35,6 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import materialise, ready
+
 # Roles of elements and names that sites give to parts that aren't the article.
 RAW = frozenset("script style textarea title noscript template iframe svg xmp annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -442,7 +444,7 @@ def _with_templates(pages: DataFrame, templates: DataFrame, columns: list[str])
 
 def references(pages: DataFrame) -> DataFrame:
     """(host, tree): the tree of one page of each host, chosen by a hash of its id and html."""
-    first = pages.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id"), F.xxhash64("html"))).alias("html"))
+    first = ready(pages).groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id"), F.xxhash64("html"))).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -515,14 +517,12 @@ def add_main_text(pages: DataFrame, templates: DataFrame) -> DataFrame:
             text, how, constant = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(how, pa.string()), pa.array(constant, pa.int32())], names=["page_id", "url", "text", "region", "constant_blocks"])
 
-    given = _with_templates(pages.select("page_id", "url", "html", "host"), templates, ["tree", "counts"]).select("page_id", "url", "html", "host", "tree", "counts")
+    given = _with_templates(ready(pages).select("page_id", "url", "html", "host"), templates, ["tree", "counts"]).select("page_id", "url", "html", "host", "tree", "counts")
     return given.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, region string, constant_blocks int")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The contract's rows."""
-    from .common import materialise
-
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     text = add_main_text(hosted, materialise(induce(hosted), "templates"))
     return text.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "region", "constant_blocks")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import folded_slices, materialise
+from .common import folded_slices, materialise, ready
 from .components import components
 from .substring_dedup import _pack, _unpack, buckets_for
 from .wordhash import Block, block_of, blocks, mix
@@ -539,7 +539,7 @@ def linked_classes(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
 def document_components(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, n_shingles, component_id."""
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    given = ready(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     profile = materialise(given.mapInArrow(_profile, "doc_id bigint, n bigint, cid bigint, part int, counts binary"), "profile")
     own = profile.where("part is null").select("doc_id", "n", "cid")
     roots = linked_classes(docs, profile)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import materialise, ready
 
 CAPACITY = 2048
 END_ID = 0
@@ -119,7 +119,7 @@ def pieces_of(docs: DataFrame, encoder=default_encoder, capacity: int = CAPACITY
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
+    return ready(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
 
 
 def best_configuration(prices: np.ndarray, sizes: np.ndarray, room: int) -> dict[int, int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod
+from .common import crc_mod, ready
 from .sampling import SAMPLE_ROWS, by_batch, labelled_sample
 
 NAMES = (
@@ -172,7 +172,7 @@ def add_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
             score = model.score(features([t or "" for t in b.column("_text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(score, pa.float64())], names=names)
 
-    given = docs.select(*keep, F.col(text).alias("_text"))
+    given = ready(docs).select(*keep, F.col(text).alias("_text"))
     return given.mapInArrow(run, StructType([*(f for f in given.schema.fields if f.name != "_text"), StructField("_score", DoubleType())]))
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import ready
+
 #: Labelled rows that a classifier is fitted on, about; all of them where there are fewer.
 SAMPLE_ROWS = 12_000
 
@@ -16,7 +18,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Col
     """(doc_id, text, y, fold) of about ``rows`` labelled rows.
 
     Rows are taken by a hash of the id below rows / n, so no sort and no per-partition limit is involved.  Labels
-    that are null or neither 0 nor 1, rows without an id and ids labelled both ways are left out.
+    that are null or neither 0 nor 1, rows without an id and ids labelled both ways are left out; of documents that
+    repeat an id the least text stands for it.
     """
     mine = labels.select("doc_id", F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & usable)
     n = mine.count()
@@ -25,7 +28,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Col
     few = mine.where(draw < int(share * 1_000_003) + 1).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where(F.col("y") == F.col("other"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(3)).cast("int").alias("fold")
     # At most about ``rows`` ids: a size known here, so the large side needs no shuffle.
-    return docs.select("doc_id", "text").join(F.broadcast(few.drop("other")), "doc_id").select("doc_id", "text", "y", fold)
+    met = ready(docs).select("doc_id", "text").join(F.broadcast(few.drop("other")), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("doc_id", "text", "y", fold)
 
 
 def by_batch(f: Callable[[list[str]], dict[str, np.ndarray]], text: str = "text"):

@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import ready
 from .wordhash import Block, block_of, blocks, mix, spaced
 
 WINDOW = 20
@@ -448,7 +449,7 @@ def kept_words(batch: pa.RecordBatch, text: str, spans: str) -> Iterator[tuple[i
 
 def _joined(docs: DataFrame) -> DataFrame:
     """The rows with the marks of their words; only a row's own text and marks ever meet."""
-    marks = marked_spans(docs)
+    marks = marked_spans(ready(docs))
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__key": _row_key(F.col("text"))})
     return keyed.join(marks, ["__id", "__key"], "left").drop("__id", "__key")
 

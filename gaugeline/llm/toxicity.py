@@ -1,9 +1,10 @@
 """Toxicity: boosted trees over dense features of a text, with isotonic calibration.
 
 Features are densities of lexicon words and stems, closeness of second-person words to them, capitals,
-punctuation and obfuscation.  The lexicon is a short list of English words plus the words and stems that one
-half of the fitting sample uses far more often where the label is set; the trees learn from the other half, and
-the calibration from margins of trees that have not seen the row.  A sample with few positives serves all three.
+punctuation and obfuscation.  The lexicon is a short list of English words plus the words and stems that the fitting
+sample uses far more often where the label is set.  The sample is dealt to three folds, at every size alike: a row's
+features for fitting come from a lexicon learnt without its fold, and the calibration from margins of trees that have
+not seen its fold either.
 
 Defined cases: a null or empty text is scored by its (zero) features; with fewer than five usable labels of
 either class a text is toxic if one word in a hundred is in the lexicon; repeated rows are scored alike; the score
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .boosting import Trees, fit_isotonic, fit_trees
-from .common import crc_mod
-from .sampling import SAMPLE_ROWS, by_batch, labelled_sample
+from .common import crc_mod, ready
+from .sampling import SAMPLE_ROWS, labelled_sample
 
 # Fixed values.
 SEED_WORDS = frozenset("idiot idiots stupid moron morons scum trash worthless pathetic disgusting loser losers clown clowns dumb filthy vermin".split())
@@ -120,53 +121,77 @@ _NO_CAPITALS = {c: None for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD
 _INSIDE = re.compile(r"[^\W\d_][0-9@$*!]+(?=[^\W\d_])")
 
 
+_BLANK = re.compile(r"\s")
+
+
 def _masked(text: str) -> list[str]:
-    """Words with digits or signs between letters."""
-    found = []
-    for m in _INSIDE.finditer(text):
-        lo = max(text.rfind(" ", max(0, m.start() - 40), m.start()), text.rfind("\n", max(0, m.start() - 40), m.start())) + 1
-        word = text[max(lo, m.start() - 40) : m.end() + 40].split()
-        if word:
-            found.append(word[0])
+    """Words with digits or signs between letters, whole, each once."""
+    found, seen = [], 0
+    m = _INSIDE.search(text)
+    while m:
+        # The word begins behind the last white space since the word before.
+        lo = max(text.rfind(c, seen, m.start()) for c in " \n\t\r\x0b\x0c")
+        end = _BLANK.search(text, m.end())
+        hi = end.start() if end else len(text)
+        found.append(text[max(lo + 1, seen) : hi].split()[-1])
+        seen = hi
+        m = _INSIDE.search(text, hi)
     return found
 
 
-def learn_lexicon(sample: DataFrame, least: int = 6, odds: float = 2.5) -> Lexicon:
-    """Words and stems that go with the label, by log odds over documents; at most LEXICON_SIZE of each."""
+FOLDS = 3
+
+
+def learn_lexicons(sample: DataFrame, least: int = 4, odds: float = 2.5) -> list[Lexicon]:
+    """One lexicon of all rows of (text, y, fold), then one without each fold: words and stems that go with the label, by log
+    odds over their uses; at most LEXICON_SIZE of each."""
 
     def vocabulary(batches):
         for b in batches:
-            rows: list[tuple[int, str, int, int]] = []
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+            rows: list[tuple[int, str, int, int, int]] = []
+            for text, y, fold in zip(*(b.column(c).to_pylist() for c in ("text", "y", "fold")), strict=True):
                 once = Counter(tokens(text or ""))
-                rows += [(0, t, y, k) for t, k in once.items()]
+                rows += [(0, t, fold, y, k) for t, k in once.items()]
                 for n in STEMS:
                     some: Counter[str] = Counter()
                     for t, k in once.items():
                         if len(t) > n:
                             some[t[:n]] += k
-                    rows += [(n, t, y, k) for t, k in some.items()]
-            kinds, terms, ys, times = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "term": pa.array(terms, pa.string()), "y": pa.array(ys, pa.int64()), "times": pa.array(times, pa.int64())})
-
-    size = sample.groupBy("y").count().collect()
-    n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in size}
-    words, stems = dict.fromkeys(SEED_WORDS, 8.0), {}
-    if not n[1] or not n[0]:
-        return Lexicon(words, stems)
+                    rows += [(n, t, fold, y, k) for t, k in some.items()]
+            kinds, terms, folds, ys, times = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "term": pa.array(terms, pa.string()), "fold": pa.array(folds, pa.int32()), "y": pa.array(ys, pa.int64()), "times": pa.array(times, pa.int64())})
+
+    size = {(r["fold"], r["y"]): r["count"] for r in sample.groupBy("fold", "y").count().collect()}
+    folds = range(FOLDS)
+    rows = {y: [size.get((f, y), 0) for f in folds] for y in (0, 1)}
+    bad, good = F.col("y") * F.col("times"), (1 - F.col("y")) * F.col("times")
+    of = lambda value, f: F.sum(F.when(F.col("fold") == f, value).otherwise(0))
     counted = (
-        sample.select("text", "y")
-        .mapInArrow(vocabulary, "kind int, term string, y bigint, times bigint")
+        sample.select("text", "y", "fold")
+        .mapInArrow(vocabulary, "kind int, term string, fold int, y bigint, times bigint")
         .groupBy("kind", "term")
-        .agg(F.sum("y").alias("pos"), F.sum(F.col("y") * F.col("times")).alias("bad"), F.sum((1 - F.col("y")) * F.col("times")).alias("good"))
+        .agg(F.array(*[of(F.col("y"), f) for f in folds]).alias("pos"), F.array(*[of(bad, f) for f in folds]).alias("bad"), F.array(*[of(good, f) for f in folds]).alias("good"))
     )
-    weight = F.log((F.col("bad") + 0.25) / F.lit(n[1] + 0.5)) - F.log((F.col("good") + 0.25) / F.lit(n[0] + 0.5))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     # A stem stands for many words, so it needs more evidence than a word does.
-    enough = F.col("pos") >= F.when(F.col("kind") == 0, least).otherwise(2 * least)
-    top = counted.withColumn("w", weight).where(enough & (F.col("w") >= odds)).orderBy(F.desc("pos"), "kind", "term").limit(LEXICON_SIZE).collect()
-    for r in top:
-        (words if r["kind"] == 0 else stems)[r["term"]] = float(r["w"])
-    return Lexicon(words, stems)
+    counted = counted.withColumn("all", total("pos")).where(F.col("all") >= F.when(F.col("kind") == 0, least).otherwise(2 * least)).where(F.log((total("bad") + 0.25) / (total("good") + 0.25)) >= odds - 1 + math.log((sum(rows[1]) + 0.5) / (sum(rows[0]) + 0.5)))
+    top = [r for words in (True, False) for r in counted.where((F.col("kind") == 0) == words).orderBy(F.desc("all"), "kind", "term").limit(2 * LEXICON_SIZE).collect()]
+    out = []
+    for left_out in (None, *folds):
+        use = [f for f in folds if f != left_out]
+        n0, n1 = (sum(rows[y][f] for f in use) for y in (0, 1))
+        lexicon = Lexicon(dict.fromkeys(SEED_WORDS, 8.0), {})
+        found: tuple[list, list] = ([], [])
+        for r in top if n0 and n1 else ():
+            pos, b, g = (sum(r[c][f] for f in use) for c in ("pos", "bad", "good"))
+            weight = math.log((b + 0.25) / (n1 + 0.5)) - math.log((g + 0.25) / (n0 + 0.5))
+            # Evidence in proportion to the rows that are left.
+            if pos >= (least if r["kind"] == 0 else 2 * least) * len(use) / FOLDS and weight >= odds:
+                found[r["kind"] > 0].append((-pos, r["term"], weight))
+        for table, terms in ((lexicon.words, found[0]), (lexicon.stems, found[1])):
+            table.update({t: w for _, t, w in sorted(terms)[:LEXICON_SIZE]})
+        out.append(lexicon)
+    return out
 
 
 @dataclass
@@ -183,26 +208,28 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> Model:
     """``usable`` says which labelled ids may be learnt from."""
     sample = labelled_sample(docs, labels, "toxic", usable, rows).cache()
-    few = sample.where("y = 1").count() < 200
-    half = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(2))
-    lexicon = learn_lexicon(sample if few else sample.where(half == 0), least=3 if few else 5)
-    held = _featured(sample if few else sample.where(half == 1), lexicon)
+    whole, *without = learn_lexicons(sample)
+    held = _featured(sample, without)
     sample.unpersist()
     x = np.array([r["x"] for r in held]).reshape(len(held), len(NAMES))
     y, fold = np.array([r["y"] for r in held], dtype=float), np.array([r["fold"] for r in held])
     trees = fit_trees(x, y)
     if min((y == 0).sum(), (y == 1).sum()) < LEAST_OF_CLASS:
-        return Model(lexicon, trees, _by_hand(trees))
-    unseen = np.concatenate([fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k]) for k in range(3)])
-    return Model(lexicon, trees, fit_isotonic(unseen, np.concatenate([y[fold == k] for k in range(3)])))
+        return Model(whole, trees, _by_hand(trees))
+    unseen = np.concatenate([fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k]) for k in range(FOLDS)])
+    return Model(whole, trees, fit_isotonic(unseen, np.concatenate([y[fold == k] for k in range(FOLDS)])))
+
 
+def _featured(sample: DataFrame, lexicons: list[Lexicon]):
+    """(doc_id, y, fold, x): features of each row by the lexicon of its fold."""
 
-def _featured(sample: DataFrame, lexicon: Lexicon):
     def run(batches):
-        memory = _Weights(lexicon)
-        yield from by_batch(lambda texts: {"x": list(features(texts, lexicon, memory))})(batches)
+        memories = [_Weights(x) for x in lexicons]
+        for b in batches:
+            made = [features([t or ""], lexicons[f], memories[f])[0] for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": b.column("y"), "fold": b.column("fold"), "x": pa.array(made, pa.list_(pa.float64()))})
 
-    return sample.mapInArrow(run, "doc_id bigint, y int, fold int, x array<double>").orderBy("doc_id").collect()
+    return sample.select("doc_id", "y", "fold", "text").mapInArrow(run, "doc_id bigint, y int, fold int, x array<double>").orderBy("doc_id").collect()
 
 
 def _by_hand(trees: Trees) -> tuple[np.ndarray, np.ndarray]:
@@ -228,14 +255,14 @@ def add_score(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
             score = m.score([t or "" for t in b.column("_text").to_pylist()], memory)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(score, pa.float64())], names=names)
 
-    given = docs.select(*keep, F.col(text).alias("_text"))
+    given = ready(docs).select(*keep, F.col(text).alias("_text"))
     schema = StructType([*(f for f in given.schema.fields if f.name != "_text"), StructField("_score", DoubleType())])
     return given.mapInArrow(run, schema)
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that score below ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ready(docs).sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):
