@@ -18,9 +18,10 @@ from .common import NO_ID, let, words
 WORDS_PER_SHINGLE = 5
 #: Sketch size: the standard error of a resemblance r is sqrt(r (1 - r) / k), at most 0.045.
 K = 128
-#: Rows that one window group holds, about.
-ROWS_PER_BUCKET = 2048
-MOST_BUCKETS = 10_000
+#: Rows that one window group holds, about, and ids that are looked at for each bound between groups.  Bounds travel with the
+#: plan; beyond MOST_BUCKETS groups hold more rows, which windows sort on disk.
+ROWS_PER_BUCKET, IDS_PER_BOUND = 2048, 20
+MOST_BUCKETS = 100_000
 
 
 def _paired(a: Column, b: Column, gap: int) -> Column:
@@ -101,42 +102,46 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     ``derived`` names columns made from a row once it has been dealt out; they are led as well.
 
-    Ids are cut at quantiles that are themselves ids, so each bucket's first row is known beforehand and goes to
-    the bucket before it too.  One shuffle of the texts, no global sort, no group of unbounded size.
-    A null id sorts first; rows with equal ids are ordered by text.
+    Rows are in order of id, then of a hash of the text, so many rows of one id fall into many buckets.  The bounds between
+    buckets are places of rows, from a sample of bounded size, so each bucket's first row is known beforehand and goes to
+    the bucket before it too.  One shuffle of the texts, no global sort, no group of unbounded size.  A null id sorts first.
     """
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    stats = docs.select(key.alias("k")).agg(F.count("*").alias("n"), F.min("k").alias("first")).first()
+    key, mark = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    placed = docs.withColumns({"_k": key, "_h": mark})
+    stats = placed.agg(F.count("*").alias("n"), F.min(F.struct("_k", "_h")).alias("first")).first()
     n, first = stats["n"], stats["first"]
     buckets = max(1, min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-    bounds: list[int] = []
+    bounds: list[tuple[int, int]] = []
     if buckets > 1:
-        at = [i / buckets for i in range(1, buckets)]
-        found = docs.select(key.alias("k")).agg(F.percentile_approx("k", at, max(10_000, 20 * buckets)).alias("q")).first()["q"]
-        bounds = sorted({int(x) for x in found if x > first})
-    steps = max(1, len(bounds).bit_length())
-    cut = F.array(*[F.lit(x).cast("bigint") for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    # Binary search for the number of bounds at or below the key.
+        # One row in so many, by its hash: about IDS_PER_BOUND for each bucket reach the driver.
+        every = max(1, n // (buckets * IDS_PER_BOUND))
+        sample = placed.where(F.pmod(F.xxhash64("_k", "_h", F.lit(5)), F.lit(every)) == 0).select("_k", "_h").distinct()
+        seen = sorted((r["_k"], r["_h"]) for r in sample.collect())
+        bounds = [x for x in seen[IDS_PER_BOUND // 2 :: max(1, len(seen) // buckets)] if x > tuple(first)]
+    cut = {c: F.from_json(F.lit(str([x[i] for x in bounds])), "array<bigint>") for i, c in enumerate(("_k", "_h"))}
+    at = lambda c, i: F.get(cut[c], i)
+    # Binary search for the number of bounds at or below the row's place.
     low = F.lit(0)
     if bounds:
         low = F.aggregate(
-            F.array(*[F.lit(1 << s) for s in range(steps - 1, -1, -1)]),
+            F.array(*[F.lit(1 << s) for s in range(len(bounds).bit_length() - 1, -1, -1)]),
             F.lit(0),
-            lambda lo, step: F.when((lo + step <= len(bounds)) & (F.get(cut, lo + step - 1) <= F.col("_k")), lo + step).otherwise(lo),
+            lambda lo, step: F.when((lo + step <= len(bounds)) & ((at("_k", lo + step - 1) < F.col("_k")) | ((at("_k", lo + step - 1) == F.col("_k")) & (at("_h", lo + step - 1) <= F.col("_h")))), lo + step).otherwise(lo),
         )
-    placed = docs.withColumn("_k", key).withColumn("_b", low)
-    opens = F.array_contains(cut, F.col("_k")) if bounds else F.lit(False)
+    placed = placed.withColumn("_b", low)
+    opens = (at("_k", F.col("_b") - 1) == F.col("_k")) & (at("_h", F.col("_b") - 1) == F.col("_h")) if bounds else F.lit(False)
+    starts = (F.col("_k") == first["_k"]) & (F.col("_h") == first["_h"]) if first else F.lit(False)
     places = F.array(
         F.struct(F.col("_b").alias("b"), F.lit(0).alias("copy")),
-        F.when(opens, F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("copy"))),
-        F.when(F.col("_k") == F.lit(first), F.struct(F.lit(len(bounds)).alias("b"), F.lit(1).alias("copy"))),
+        F.when((F.col("_b") > 0) & opens, F.struct((F.col("_b") - 1).alias("b"), F.lit(1).alias("copy"))),
+        F.when(starts, F.struct(F.lit(len(bounds)).alias("b"), F.lit(1).alias("copy"))),
     )
     spread = placed.withColumn("_at", F.explode(F.filter(places, lambda x: x.isNotNull())))
     spread = spread.withColumns({"_b": F.col("_at.b"), "_copy": F.col("_at.copy")}).drop("_at").repartition("_b")
     spread = spread.withColumns(derived or {})
-    order = Window.partitionBy("_b").orderBy("_copy", "_k", text_col)
+    order = Window.partitionBy("_b").orderBy("_copy", "_k", "_h", text_col)
     ahead = spread.withColumns({f"next_{c}": F.lead(c).over(order) for c in (text_col, *(derived or {}))})
-    return ahead.where(F.col("_copy") == 0).drop("_b", "_copy", "_k")
+    return ahead.where(F.col("_copy") == 0).drop("_b", "_copy", "_k", "_h")
 
 
 def edited(text: Column, following: Column) -> Column:

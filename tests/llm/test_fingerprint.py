@@ -68,3 +68,19 @@ def test_parts_merge(spark):
     a, b = fp.sketch(F.lit(" ".join(words[:400]))), fp.sketch(F.lit(whole))
     r = spark.range(1).select(fp.containment(a, b).alias("c"), fp.resemblance(a, b).alias("r")).first()
     assert r["c"] > 0.8 and 0.25 < r["r"] < 0.65
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """Rows of one id are dealt to many buckets; each has exactly one successor, and all form one ring."""
+    monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 4)
+    docs = [(None if i % 3 else 7, f"text {i} " * 3) for i in range(120)] + [(i, f"other {i}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    ahead = fp.with_next(df)
+    assert len(ahead.columns) == 3
+    rows = [(r["text"], r["next_text"]) for r in ahead.collect()]
+    following = dict(rows)
+    assert len(rows) == len(docs) and sorted(following.values()) == sorted(t for _, t in docs)
+    at, seen = docs[0][1], 0
+    while seen == 0 or at != docs[0][1]:
+        at, seen = following[at], seen + 1
+    assert seen == len(docs)
