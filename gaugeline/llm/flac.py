@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import ready
 from .wordhash import blocks
 
 BLOCK_SIZE = 4096
@@ -30,8 +31,10 @@ RATE = 8000
 PAD = 64
 #: Bytes of text that one pass of array operations covers; its working memory is about 60 times that.
 BATCH_BYTES = 2_000_000
-#: Predictor orders that the encoder tries.
-FIXED_ORDERS = (0, 1)
+#: Predictor orders that the encoder tries: fixed ones, and one whose coefficients follow from the frame's autocorrelation, with
+#: their precision and shift.
+FIXED_ORDERS = (0, 1, 2)
+LPC_ORDER, PRECISION, SHIFT = 4, 9, 6
 _FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 
 
@@ -117,48 +120,63 @@ def _frame_header(number: int, n: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
-def encode(payloads: list[bytes], lpc: tuple[tuple[int, ...], int, int] | None = None) -> list[bytes]:
-    """One stream for each payload.  ``lpc`` (coefficients, precision, shift) replaces the search for a predictor."""
-    data = np.frombuffer(b"".join(payloads), dtype=np.uint8)
+def _autocorrelated(samples: np.ndarray, index: np.ndarray, start: np.ndarray, order: int) -> np.ndarray:
+    """Predictor coefficients of each frame as whole numbers over 2**SHIFT: Levinson's recursion, all frames at once."""
+    r = np.zeros((order + 1, len(start)))
+    x = samples.astype(np.float32)
+    for lag in range(order + 1):
+        product = x.copy()
+        product[lag:] *= x[: len(x) - lag]
+        product[index < lag] = 0
+        r[lag] = np.add.reduceat(product, start, dtype=np.float64)
+    a = np.zeros((len(start), order))
+    error = r[0] * (1 + 1e-6) + 1.0
+    for i in range(order):
+        k = (r[i + 1] - sum(a[:, j] * r[i - j] for j in range(i))) / error
+        before = a[:, :i].copy()
+        a[:, i] = k
+        for j in range(i):
+            a[:, j] = before[:, j] - k * before[:, i - 1 - j]
+        error = error * np.maximum(1 - k * k, 1e-9)
+    top = 1 << (PRECISION - 1)
+    return np.clip(np.round(a * (1 << SHIFT)), -top, top - 1).astype(np.int32)
+
+
+def _frames(data: np.ndarray, sizes: list[int], number: list[int], lpc: tuple[tuple[int, ...], int, int] | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Frames of samples that lie end to end; all of them, where each starts, and its bytes."""
     samples = data.astype(np.int32) - 128
-    sizes, owner, number = [], [], []
-    for k, p in enumerate(payloads):
-        for j, at in enumerate(range(0, len(p), BLOCK_SIZE)):
-            sizes.append(min(BLOCK_SIZE, len(p) - at))
-            owner.append(k)
-            number.append(j)
     n = np.array(sizes, dtype=np.int64)
     start = np.cumsum(n) - n
     spread = lambda x: np.repeat(x, n)  # noqa: E731  a value of each frame, for each of its samples
     index = np.arange(len(data), dtype=np.int32) - spread(start.astype(np.int32))
+    coefficients, precision, shift = (np.tile(np.array(lpc[0], dtype=np.int32), (len(n), 1)), *lpc[1:]) if lpc else (_autocorrelated(samples, index, start, LPC_ORDER), PRECISION, SHIFT)
+    many = coefficients.shape[1]
 
-    def residual_of(order: int) -> np.ndarray:
+    def residual_of(order: int, linear: bool) -> np.ndarray:
         r = samples.copy()
-        if lpc:
-            coefficients, _, shift = lpc
-            p = np.zeros(len(r), dtype=np.int64)
-            for j, c in enumerate(coefficients, 1):
-                p[j:] += c * samples[:-j].astype(np.int64)
+        if linear:
+            p = np.zeros(len(r), dtype=np.int64 if lpc else np.int32)
+            for j in range(1, many + 1):
+                p[j:] += spread(coefficients[:, j - 1])[j:] * samples[:-j].astype(p.dtype)
             return (r - (p >> shift)).astype(np.int32)
         for j, c in enumerate(_FIXED[order], 1):
             r[j:] -= c * samples[:-j]
         return r
 
     best_cost = np.full(len(n), np.inf)
-    best_order, best_k = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+    best_order, best_k, best_linear = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=bool)
     folded = np.zeros(len(data), dtype=np.int32)
-    orders = (len(lpc[0]),) if lpc else FIXED_ORDERS
-    for order in orders:
-        r = residual_of(order)
+    for order, linear in [(many, True)] if lpc else [*((o, False) for o in FIXED_ORDERS), (many, True)]:
+        r = residual_of(order, linear)
         u = (r << 1) ^ (r >> 31)
         u[index < order] = 0
         total = np.add.reduceat(u, start, dtype=np.int64)
         count = np.maximum(n - order, 1)
         k = np.clip(np.floor(np.log2(np.maximum(total / count * 0.6931, 1.0))), 0, 14).astype(np.int64)
-        cost = 6.0 + order * 8 + count * (k + 1) + total / (1 << k) + (16 + 12 * order if lpc else 0)
+        cost = 6.0 + order * 8 + count * (k + 1) + total / (1 << k) + (9 + precision * order if linear else 0)
         cost = np.where(n > order, cost, np.inf)
         better = cost < best_cost
-        best_cost[better], best_order[better], best_k[better] = cost[better], order, k[better]
+        best_cost[better], best_order[better], best_k[better], best_linear[better] = cost[better], order, k[better], linear
         np.copyto(folded, u, where=spread(better))
     verbatim = best_cost >= 8.0 * n
     flat = np.maximum.reduceat(samples, start) == np.minimum.reduceat(samples, start)
@@ -179,12 +197,11 @@ def encode(payloads: list[bytes], lpc: tuple[tuple[int, ...], int, int] | None =
             head += bytes([2]) + (data[s : s + sizes[f]] ^ 0x80).tobytes()
         else:
             order, k = int(best_order[f]), int(best_k[f])
-            head += bytes([(32 + order - 1 if lpc else 8 + order) << 1]) + (data[s : s + order] ^ 0x80).tobytes()
+            head += bytes([(32 + order - 1 if best_linear[f] else 8 + order) << 1]) + (data[s : s + order] ^ 0x80).tobytes()
             value, length = k, 10  # method 0, partition order 0, parameter
-            if lpc:
-                coefficients, precision, shift = lpc
+            if best_linear[f]:
                 v, length = precision - 1 << 5 | shift & 31, 9
-                for c in coefficients:
+                for c in coefficients[f].tolist():
                     v, length = v << precision | c & (1 << precision) - 1, length + precision
                 value, length = v << 10 | k, length + 10
             body[f] = 8 * len(head) + length
@@ -212,20 +229,48 @@ def encode(payloads: list[bytes], lpc: tuple[tuple[int, ...], int, int] | None =
     check = crc16(out, offset, byte_len)
     out[offset + byte_len] = check >> 8
     out[offset + byte_len + 1] = check & 0xFF
-    whole = out.tobytes()
-    streams, f = [], 0
+    return out.tobytes(), offset, byte_len + 2
+
+
+def encode(payloads: list[bytes], lpc: tuple[tuple[int, ...], int, int] | None = None) -> list[bytes]:
+    """One stream for each payload.  ``lpc`` (coefficients, precision, shift) replaces the search for a predictor.
+
+    Frames are made BATCH_BYTES of samples at a time, wherever payloads begin and end, so neither many payloads nor a very
+    long one needs more working memory.
+    """
+    made: list[list[bytes]] = [[] for _ in payloads]
+    waiting: list[tuple[int, int]] = []
+    size = 0
+
+    def flush() -> None:
+        sizes = [min(BLOCK_SIZE, len(payloads[k]) - j * BLOCK_SIZE) for k, j in waiting]
+        data = np.frombuffer(b"".join([payloads[k][j * BLOCK_SIZE : (j + 1) * BLOCK_SIZE] for k, j in waiting]), dtype=np.uint8)
+        whole, offset, length = _frames(data, sizes, [j for _, j in waiting], lpc)
+        for (k, _), o, n in zip(waiting, offset.tolist(), length.tolist(), strict=True):
+            made[k].append(whole[o : o + n])
+        waiting.clear()
+
     for k, p in enumerate(payloads):
-        first = f
-        while f < len(n) and owner[f] == k:
-            f += 1
-        base = int(offset[first])
-        stop = int(offset[f]) if f < len(n) else len(whole)
-        lengths = [int(x) + 2 for x in byte_len[first:f]]
+        for j in range(-(-len(p) // BLOCK_SIZE)):
+            waiting.append((k, j))
+            size += min(BLOCK_SIZE, len(p) - j * BLOCK_SIZE)
+            if size >= BATCH_BYTES:
+                flush()
+                size = 0
+    if waiting:
+        flush()
+    streams = []
+    for p, frames in zip(payloads, made, strict=True):
+        lengths = list(map(len, frames))
         block = max(16, min(BLOCK_SIZE, len(p)))
         info = block.to_bytes(2, "big") * 2 + min(lengths).to_bytes(3, "big") + max(lengths).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5((np.frombuffer(p, dtype=np.uint8) ^ 0x80).tobytes()).digest()
-        points = b"".join((BLOCK_SIZE * j).to_bytes(8, "big") + (int(offset[first + j]) - base).to_bytes(8, "big") + sizes[first + j].to_bytes(2, "big") for j in range(f - first))
-        streams.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + whole[base:stop])
+        points, at = [], 0
+        for j, n in enumerate(lengths):
+            points.append((BLOCK_SIZE * j).to_bytes(8, "big") + at.to_bytes(8, "big") + min(BLOCK_SIZE, len(p) - BLOCK_SIZE * j).to_bytes(2, "big"))
+            at += n
+        table = b"".join(points)
+        streams.append(b"".join([b"fLaC\x00", len(info).to_bytes(3, "big"), info, b"\x83", len(table).to_bytes(3, "big"), table, *frames]))
     return streams
 
 
@@ -458,43 +503,59 @@ def _predict(out: np.ndarray, first: np.ndarray, n: np.ndarray, rows: list[tuple
 
 
 def decode(streams: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int, int]]]]:
-    """Payload bytes of each stream, and its blocks as (first sample, samples, byte offset of the frame)."""
+    """Payload bytes of each stream, and its blocks as (first sample, samples, byte offset of the frame).
+
+    Streams whose seek points cover them are decoded BATCH_BYTES of frames at a time, many streams or parts of one alike;
+    others one frame after the other.
+    """
     info = [metadata(s) for s in streams]
-    covered = [sum(x[2] for x in m.points) == m.total and all(a[0] + a[2] == b[0] for a, b in zip(m.points, m.points[1:], strict=False)) for m in info]
-    data = b"".join(streams)
-    base = np.cumsum([0, *map(len, streams)]).tolist()
-    starts, owner = [], []
-    for s, (m, whole) in enumerate(zip(info, covered, strict=True)):
-        if whole and m.bits == 8:
-            starts += [base[s] + m.frames_at + p[1] for p in m.points]
-            owner += [s] * len(m.points)
-    out: list[list[np.ndarray]] = [[] for _ in streams]
     spans: list[list[tuple[int, int, int]]] = [[] for _ in streams]
-    if starts:
-        heads, samples, first, ends = decode_frames(data, starts)
-        for f, s in enumerate(owner):
-            done = sum(x[1] for x in spans[s])
-            spans[s].append((done, heads[f].n, starts[f] - base[s]))
-            out[s].append(samples[first[f] : first[f] + heads[f].n])
-            if f + 1 < len(owner) and owner[f + 1] == s and ends[f] != starts[f + 1] or (f + 1 == len(owner) or owner[f + 1] != s) and ends[f] != base[s + 1]:
+    out: list[list[bytes]] = [[] for _ in streams]
+    waiting: list[tuple[int, int, int, int]] = []
+    size = 0
+
+    def kept(x: np.ndarray, bits: int) -> bytes:
+        return (x.astype(np.int8).view(np.uint8) if bits == 8 else x.astype("<i2")).tobytes()
+
+    def flush() -> None:
+        data = b"".join([streams[s][lo:hi] for s, lo, hi, _ in waiting])
+        lengths = [hi - lo for _, lo, hi, _ in waiting]
+        starts = np.cumsum([0, *lengths]).tolist()
+        heads, samples, first, ends = decode_frames(data, starts[:-1])
+        for f, (s, lo, _, done) in enumerate(waiting):
+            if ends[f] != starts[f + 1]:
                 raise ValueError("frames don't follow one another")
-    for s, (m, whole) in enumerate(zip(info, covered, strict=True)):
-        if not (whole and m.bits == 8):  # no full seek table: one frame after the other
+            spans[s].append((done, heads[f].n, lo))
+            out[s].append(kept(samples[first[f] : first[f] + heads[f].n], 8))
+        waiting.clear()
+
+    for s, m in enumerate(info):
+        whole = m.bits == 8 and sum(x[2] for x in m.points) == m.total and all(a[0] + a[2] == b[0] and a[1] < b[1] for a, b in zip(m.points, m.points[1:], strict=False))
+        if whole:
+            places = [m.frames_at + p[1] for p in m.points] + [len(streams[s])]
+            for point, lo, hi in zip(m.points, places, places[1:], strict=False):
+                waiting.append((s, lo, hi, point[0]))
+                size += hi - lo
+                if size >= BATCH_BYTES:
+                    flush()
+                    size = 0
+        else:  # no full seek table: one frame after the other
             at, done = m.frames_at, 0
             while at < len(streams[s]):
                 heads, samples, _, ends = decode_frames(streams[s], [at], m.bits)
                 spans[s].append((done, heads[0].n, at))
-                out[s].append(samples)
+                out[s].append(kept(samples, m.bits))
                 done, at = done + heads[0].n, ends[0]
+    if waiting:
+        flush()
     payloads = []
-    for m, parts in zip(info, out, strict=True):
-        x = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-        if len(x) != m.total:
+    for m, parts, blocks_ in zip(info, out, spans, strict=True):
+        if sum(x[1] for x in blocks_) != m.total:
             raise ValueError("number of samples differs from STREAMINFO")
-        raw = x.astype(np.int8) if m.bits == 8 else x.astype("<i2")
-        if m.md5 != bytes(16) and hashlib.md5(raw.tobytes()).digest() != m.md5:
+        raw = b"".join(parts)
+        if m.md5 != bytes(16) and hashlib.md5(raw).digest() != m.md5:
             raise ValueError("samples fail their MD5")
-        payloads.append((raw.view(np.uint8) ^ 0x80).tobytes() if m.bits == 8 else raw.tobytes())
+        payloads.append((np.frombuffer(raw, dtype=np.uint8) ^ 0x80).tobytes() if m.bits == 8 else raw)
     return payloads, spans
 
 
@@ -504,19 +565,27 @@ def padded(text: bytes) -> bytes:
 
 def feature(payload: bytes) -> str:
     """Figures of the samples, all whole numbers: count, sum, energy, peak, changes of sign, sum of steps."""
-    x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
-    step = np.abs(np.diff(x))
-    return f"n={len(x)};sum={x.sum()};energy={(x * x).sum()};peak={np.abs(x).max()};turns={(np.diff(np.signbit(x).astype(np.int8)) != 0).sum()};steps={step.sum()}"
+    total = energy = peak = turns = steps = 0
+    for lo in range(0, len(payload), BATCH_BYTES):
+        # A part begins with the last sample of the part before it, whose step and turn it adds.
+        x = np.frombuffer(payload[max(0, lo - 1) : lo + BATCH_BYTES], dtype=np.uint8).astype(np.int32) - 128
+        own = x[1:] if lo else x
+        total += int(own.sum(dtype=np.int64))
+        energy += int((own * own).sum(dtype=np.int64))
+        peak = max(peak, int(np.abs(own).max()))
+        turns += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        steps += int(np.abs(np.diff(x)).sum(dtype=np.int64))
+    return f"n={len(payload)};sum={total};energy={energy};peak={peak};turns={turns};steps={steps}"
 
 
 def add_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each text as a stream."""
+    """(doc_id, n_bytes, media): each text as a stream, with the length of its UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, chars=BATCH_BYTES):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(encode([padded(t) for t in texts]), pa.binary())], names=["doc_id", "media"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(encode([padded(t) for t in texts]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, media binary")
+    return ready(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -532,29 +601,36 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "block", "first_sample", "n_samples", "frame_offset", "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, block int, first_sample bigint, n_samples bigint, frame_offset bigint, pcm binary")
+    return ready(media).select("doc_id", "media").mapInArrow(run, "doc_id bigint, block int, first_sample bigint, n_samples bigint, frame_offset bigint, pcm binary")
 
 
-def media_digest(docs: DataFrame) -> DataFrame:
-    """The contract's rows: each text is stored as a stream, and everything about the payload comes from the stream read back."""
+def media_facts(media: DataFrame) -> DataFrame:
+    """Of (doc_id, n_bytes, media): digests and features of the payload, all from the media column read back; null media has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, chars=BATCH_BYTES):
-            streams = encode([padded(t) for t in texts])
+        for rows, streams in blocks(batches, "media", BATCH_BYTES):
+            there = pa.array([bool(s) for s in streams])
+            rows, streams = rows.filter(there), [s for s in streams if s]
             back, spans = decode(streams)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": rows.column(0),
-                    "n_bytes": pa.array(list(map(len, texts)), pa.int64()),
+                    "n_bytes": rows.column(1),
                     "payload_bytes": pa.array(list(map(len, back)), pa.int64()),
-                    "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in back]),
+                    "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
                     "tail_crc32": pa.array([zlib.crc32(p[-PAD:]) for p in back], pa.int64()),
                     "media_bytes": pa.array(list(map(len, streams)), pa.int64()),
-                    "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
-                    "feature": pa.array([feature(p) for p in back]),
+                    "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()),
+                    "feature": pa.array([feature(p) for p in back], pa.string()),
                     "n_blocks": pa.array(list(map(len, spans)), pa.int64()),
                 }
             )
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_blocks bigint"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return ready(media).select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def media_digest(docs: DataFrame) -> DataFrame:
+    """The contract's rows: facts of the media column that the texts are stored in.  The column goes from one operator to the next
+    within a stage; ``add_media(docs)`` can as well be written as a table and its facts taken from there."""
+    return media_facts(add_media(docs))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from gaugeline.llm import flac
@@ -98,3 +99,30 @@ def test_documents(spark):
     for i, t in enumerate(texts):
         assert b"".join(r["pcm"] for r in back if r["doc_id"] == i).rstrip(b"\0") == (t or "").encode().rstrip(b"\0")
     assert flac.media_digest(df.limit(0)).count() == 0
+
+
+def test_long_payloads_in_parts(monkeypatch):
+    """A payload of many batches, and many payloads in one, have the same streams whatever the batch."""
+    rnd = random.Random(12)
+    given = [bytes(rnd.choices(b"abcde fgh\n", k=n)) for n in (70_000, 64, 4096, 9000)] + [b"\0" * 20_000, bytes(range(256)) * 40]
+    want, facts = flac.encode(given), [flac.feature(p) for p in given]
+    monkeypatch.setattr(flac, "BATCH_BYTES", 5000)
+    assert flac.encode(given) == want and [flac.feature(p) for p in given] == facts
+    back, spans = flac.decode(want)
+    assert back == given and [sum(x[1] for x in s) for s in spans] == list(map(len, given))
+
+
+def test_linear_predictors_are_chosen():
+    """Samples that swing take a predictor of their own; smooth ones a fixed order above 1; all come back."""
+    n = np.arange(8192)
+    swing = (128 + 90 * np.sin(n * 2.1) + np.random.default_rng(1).integers(-2, 3, len(n))).astype(np.uint8).tobytes()
+    smooth = (128 + 100 * np.sin(n / 50)).astype(np.uint8).tobytes()
+    streams = flac.encode([swing, smooth])
+    kinds = [[flac._head(s, m.frames_at + p[1]).kind for p in m.points] for s, m in zip(streams, map(flac.metadata, streams), strict=True)]
+    assert set(kinds[0]) == {32 + flac.LPC_ORDER - 1} and all(k >= 10 for k in kinds[1])
+    assert flac.decode(streams)[0] == [swing, smooth]
+    for s, k in zip(streams, kinds, strict=True):
+        m = flac.metadata(s)
+        for p, first in zip(m.points, (0, 4096), strict=True):
+            x, _ = flac.decode_scalar(s, m.frames_at + p[1], 8)
+            assert bytes(v + 128 for v in x) == [swing, smooth][s is streams[1]][first : first + 4096]
