@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-A text falls into units that no piece spans: a run of spaces with the word after it, or a line end.  For the
-distinct units of a block of texts all substrings of bounded length are joined to the piece table by a hash of
-their characters; the matches are the edges of each unit's lattice, and a fold over end positions gives every
-position its last piece.
-
-For unigram vocabularies the fold is Viterbi: the best sum of scores.  For merge (BPE) vocabularies a best sum is
-not what the library computes, so the fold keeps the piece that can stand after the last piece of the position where
-it starts: two pieces can stand side by side unless, on the way there, a part that ends the left one and a part that
-starts the right one would have been merged with each other first.  For every position exactly one piece qualifies.
-Units with runs of spaces, very long ones and ones with characters outside the vocabulary take the merges
-themselves, by a priority queue.
+A text falls into units that no piece spans: a run of spaces with the word after it, or a line end.  The units of all
+texts are counted.  Those that are used most often, FREQUENT of them, are encoded relationally: their substrings of
+bounded length are exploded and joined to the piece table, the matches grouped by unit as the edges of its lattice, and a
+higher-order aggregate folds the edges into pieces (``merged_words``).  Their ids, a table of bounded size, are handed to
+the tasks that encode the texts; these make the other units' ids from the same lattice held in arrays.
+
+For unigram vocabularies the fold is Viterbi: the best sum of scores (``viterbi_words``).  For merge (BPE) vocabularies a
+best sum is not what the library computes.  There the fold starts with a boundary at every character and, step by step,
+takes the edge of the best rank that spans exactly two parts, until none does.  The array form keeps, at each end
+position, the piece that can stand after the last piece of the position where it starts: two pieces can stand side by side
+unless, on the way there, a part that ends the left one and a part that starts the right one would have been merged with
+each other first.  For every position exactly one piece qualifies.  Units with runs of spaces, very long ones and ones with
+characters outside the vocabulary take the merges themselves, by a priority queue.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; U+2581 is a space, as in the library;
 characters outside the vocabulary become byte pieces; rows that repeat are encoded alike.
@@ -20,18 +22,23 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .common import materialise, ready
 
 SPACE = "▁"
 UNITS = re.compile(r" *[^ \n\t\r]+| +|[\n\t\r]")
 #: Longest unit that the lattice takes, and most units at once.
 LONGEST, AT_ONCE = 40, 20_000
+#: Units that are encoded relationally, at most: their ids are broadcast.
+FREQUENT = 1 << 18
 #: Units whose pieces a worker remembers: so many that it has met lately, and as many from before that.
 REMEMBERED = 250_000
 #: Pairs of pieces whose standing side by side a worker remembers, as a power of two.
@@ -75,9 +82,11 @@ class HashTable:
 
 
 class Memory:
-    """Ids of units met lately, in two generations: what is met again stays, what isn't is forgotten with its generation."""
+    """Ids of units: of those in ``fixed``, and of others met lately, in two generations: what is met again stays, what isn't is
+    forgotten with its generation."""
 
-    def __init__(self):
+    def __init__(self, fixed: dict[str, bytes] | None = None):
+        self.fixed = fixed or {}
         self.now: dict[str, bytes] = {}
         self.past: dict[str, bytes] = {}
 
@@ -88,7 +97,7 @@ class Memory:
         out = []
         for u in units:
             if u not in self.now:
-                ids = self.past.get(u)
+                ids = self.fixed.get(u) or self.past.get(u)
                 if ids is None:
                     out.append(u)
                 else:
@@ -328,6 +337,46 @@ def lattice_edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFram
     return cut.join(F.broadcast(pieces), "piece").select("word", "s", "e", "id", "score")
 
 
+_MERGES = """
+aggregate(sequence(1, n), shiftleft(CAST(1 AS BIGINT), n + 1) - 1, (cuts, i) -> element_at(transform(array(array_min(filter(edges, x ->
+    x.e - x.s > 1 AND bit_get(cuts, x.s) = 1 AND bit_get(cuts, x.e) = 1 AND bit_count(shiftright(cuts, x.s + 1) & (shiftleft(CAST(1 AS BIGINT), x.e - x.s - 1) - 1)) = 1))),
+    best -> IF(best IS NULL, cuts, cuts ^ shiftleft(shiftright(cuts, best.s + 1) & (shiftleft(CAST(1 AS BIGINT), best.e - best.s - 1) - 1), best.s + 1))), 1))
+"""
+_PIECES = "transform(filter(sequence(0, n - 1), s -> bit_get(cuts, s) = 1), s -> element_at(filter(edges, x -> x.s = s AND x.e = s + 1 + bit_count((shiftright(cuts, s + 1) ^ (shiftright(cuts, s + 1) - 1))) - 1), 1).id)"
+
+
+def merged_words(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, ids): the pieces that merges leave of each distinct word of 1 to 60 characters; words with a character that is no
+    piece are left out.  ``pieces`` has (piece, id, score), the least score merged first.
+
+    Two parts side by side can be merged if together they are a piece, so the edges of a word's lattice are all that its merges
+    can make.  The fold's state is the set of boundaries as bits of a number: each step takes the edge with the least
+    (score, start) that has exactly one boundary inside, and removes that boundary.
+    """
+    n = F.length("word")
+    edges = lattice_edges(words.where(n.between(1, 60)), pieces, longest)
+    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("score", "s", "e", "id")).alias("edges")).withColumn("n", n)
+    known = grouped.where(F.size(F.filter("edges", lambda x: x["e"] - x["s"] == 1)) == F.col("n"))
+    return known.withColumn("cuts", F.expr(_MERGES)).select("word", F.expr(_PIECES).alias("ids"))
+
+
+def unit_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each unit of the texts is used, spaces written as U+2581.  Counted by task before anything is shuffled."""
+    text = F.concat(F.lit(" "), F.translate("text", SPACE, " "))
+    units = docs.where(F.length("text") > 0).select(F.explode(F.regexp_extract_all(text, F.lit(r"( *+[^ \n\t\r]++| ++|[\n\t\r])"), F.lit(1))).alias("word"))
+    return units.groupBy("word").agg(F.count("*").alias("n")).select(F.translate("word", " ", SPACE).alias("word"), "n")
+
+
+def frequent_units(docs: DataFrame, most: int) -> DataFrame:
+    """(word, n) of units that the lattice takes, used twice or more: all that are used at least so often that no more than ``most`` are."""
+    plain = F.col("n").between(2, 2**62) & F.length("word").between(1, LONGEST) & ~F.startswith(F.col("word"), F.lit(SPACE * 2))
+    counted = materialise(unit_counts(docs).where(plain), "units")
+    # How many units are used how often: as many rows as there are different counts, of which the largest are few.
+    by_count = counted.groupBy("n").agg(F.count("*").alias("units")).withColumn("upto", F.sum("units").over(Window.orderBy(F.desc("n"))))
+    least = by_count.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return counted.where(F.col("n") >= (2**62 if least is None else least))
+
+
 def viterbi_words(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, ids): the segmentation of each distinct, non-empty word with the best sum of scores; null if there is none.
 
@@ -364,14 +413,27 @@ def default_vocabulary() -> Vocabulary:
     return Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def encode_documents(docs: DataFrame, vocabulary=default_vocabulary, chars: int = 1_500_000) -> DataFrame:
+def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """(piece, id, score): pieces that merges can make, with the rank of each as score."""
+    return spark.createDataFrame([(p, i, float(vocabulary.rank[i])) for p, i in vocabulary.ids.items()], "piece string, id bigint, score double")
+
+
+def encode_documents(docs: DataFrame, vocabulary=default_vocabulary, chars: int = 1_500_000, frequent: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): ids of every whole text and a digest of the text that they decode to."""
+    spark = ready(docs).sparkSession
+    v = vocabulary()
+    units = merged_words(frequent_units(docs.select("text"), FREQUENT if frequent is None else frequent).select("word"), piece_table(spark, v), v.longest)
+    found = units.select(F.translate("word", SPACE, " ").alias("word"), F.col("ids").cast("array<int>").alias("ids")).toArrow()  # at most FREQUENT
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    shared, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         v = vocabulary()
-        memory = Memory()
+        memory = Memory(_known(name, shared))
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             lo = 0
@@ -390,3 +452,17 @@ def encode_documents(docs: DataFrame, vocabulary=default_vocabulary, chars: int
                 lo = hi
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
+
+
+_units: dict[str, dict[str, bytes]] = {}
+
+
+def _known(name: str, shared) -> dict[str, bytes]:
+    """The broadcast table as a dictionary, made once in a worker."""
+    if name not in _units:
+        _units.clear()
+        table = pa.ipc.open_stream(shared.value).read_all()
+        ids = table.column("ids").combine_chunks()
+        flat, at = ids.values.to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy().tolist()
+        _units[name] = {w: flat[4 * x : 4 * y] for w, x, y in zip(table.column("word").to_pylist(), at, at[1:], strict=False)}
+    return _units[name]

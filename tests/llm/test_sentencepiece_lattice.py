@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -57,6 +58,33 @@ def test_memory_forgets(monkeypatch):
         assert [x.tolist() for x in v.encode(given, memory)] == LIBRARY.encode(given)
 
 
+def test_merges_by_a_fold_over_edges(spark):
+    """The relational form gives the library's pieces for every word of known characters."""
+    v = sl.default_vocabulary()
+    units = {u.replace(" ", sl.SPACE) for t in texts(5, 400) for u in sl.UNITS.findall(" " + t)}
+    units |= {p for i, p in enumerate(sorted(v.ids)) if i % 40 == 0} | {"▁" + "ab" * 20, "a" * 40, "x"}
+    plain = {u for u in units if len(u) <= 60}
+    rows = {r["word"]: r["ids"] for r in sl.merged_words(spark.createDataFrame([(u,) for u in plain], "word string"), sl.piece_table(spark, v), v.longest).collect()}
+    assert rows == {u: v.by_merges(u) for u in plain if v.chars.issuperset(u)} and len(rows) > 800
+
+
+def test_units_are_counted(spark):
+    given = [*texts(6, 200), None]
+    df = spark.createDataFrame([(t,) for t in given], "text string").repartition(3)
+    want = Counter(u.replace(" ", sl.SPACE) for t in given if t for u in sl.UNITS.findall(" " + t.replace(sl.SPACE, " ")))
+    assert {r["word"]: r["n"] for r in sl.unit_counts(df).collect()} == want
+    for most in (0, 5, 40, 10**6):
+        got = {r["word"]: r["n"] for r in sl.frequent_units(df, most).collect()}
+        assert len(got) <= most and all(want[w] == n for w, n in got.items())
+        assert not got or min(got.values()) >= max((n for w, n in want.items() if w not in got and 0 < len(w) <= sl.LONGEST and not w.startswith(sl.SPACE * 2)), default=0)
+
+
+def test_frequent_units_change_nothing(spark):
+    df = spark.createDataFrame([*enumerate(texts(7, 60))], "doc_id long, text string")
+    key = lambda frequent: sorted((r["doc_id"], r["ids"], r["decoded_sha256"]) for r in sl.encode_documents(df, frequent=frequent).collect())
+    assert key(0) == key(30) == key(100_000)
+
+
 def test_viterbi_of_unigram_scores(spark):
     rnd = random.Random(2)
     pieces = sorted({"".join(p) for n in (1, 2, 3) for p in itertools.product("abc", repeat=n) if n == 1 or rnd.random() < 0.5})
