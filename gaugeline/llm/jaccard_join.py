@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import folded_slices, materialise, ready
-from .components import components
+from .components import components, join_hot
 from .substring_dedup import _pack, _unpack, buckets_for
 from .wordhash import Block, block_of, blocks, mix
 
@@ -543,13 +543,17 @@ def document_components(docs: DataFrame) -> DataFrame:
     profile = materialise(given.mapInArrow(_profile, "doc_id bigint, n bigint, cid bigint, part int, counts binary"), "profile")
     own = profile.where("part is null").select("doc_id", "n", "cid")
     roots = linked_classes(docs, profile)
-    classes = own.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.select("cid", "root").join(least, "root").select("cid", "component_id")
-    # Texts without a set share the class of the empty set, yet aren't linked: they don't take part in the join.
-    joined = own.withColumn("cid", F.when(F.col("n") > 0, F.col("cid"))).join(by_class, "cid", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    some = own.where("n > 0")
+    classes = some.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # Classes with links, each with its root; a root may stand for a large share of them, and a class for one of the rows.
+    rooted = materialise(roots.select(F.col("node").alias("cid"), "root").join(classes.drop("copies"), "cid"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("degree"))
+    linked = join_hot(rooted.select("cid", "root"), least, "root", rooted.count(), "degree").select("cid", F.col("component_id").alias("joined"))
+    by_class = materialise(classes.join(linked, "cid", "left").select("cid", F.coalesce("joined", "least").alias("component_id"), "copies"), "classes")
+    found = join_hot(some, by_class, "cid", own.count(), "copies").select("doc_id", "n", "component_id")
+    # Texts without a set are linked with nothing.
+    alone = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

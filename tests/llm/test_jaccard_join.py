@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from gaugeline.llm import jaccard_join as jj
+from gaugeline.llm import components as components_module, jaccard_join as jj
 from gaugeline.llm.components import components
 
 
@@ -134,6 +134,27 @@ def test_cases(spark):
     assert kept == [(1, "", "q"), (3, "A b  c", "y"), (9, None, "z")]
 
 
+def test_components_with_hot_keys(spark, monkeypatch):
+    """Stars whose centres are hot, chains between them, links that repeat and loops."""
+    monkeypatch.setattr(components_module, "HOT_ROWS", 3)
+    rnd = random.Random(4)
+    links = [(c, 1000 * (i + 1) + k) for i, c in enumerate((5, 900_000, 77)) for k in range(40)] + [(1039, 2000), (2039, 900_000), (8, 8), (500_000, 500_001), (None, 3)]
+    links += rnd.sample(links, 20)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in links:
+        if u is not None and u != v:
+            a, b = sorted((find(u), find(v)))
+            parent[b] = a
+    got = {tuple(r) for r in components(spark.createDataFrame(links, "u long, v long").repartition(3)).collect()}
+    assert got == {(x, find(x)) for x in list(parent)}
+
+
 def test_components_settle_or_fail(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
     assert {tuple(r) for r in components(path).collect()} == {(i, 0) for i in range(61)}
