@@ -54,6 +54,74 @@ def test_golden_outcomes(spark, tmp_path, data, params, schema, want):
     assert got.results[1][2] == (["sanity check failed: file of zero size"] if not data else [])
 
 
+def test_ragged_feed(spark, tmp_path):
+    """A blank line hides nothing: every position of every good row is profiled."""
+    put(tmp_path, "f", b"a|bob@example.com|5\n\nb|eve@example.com|7|x\n\xff|q|r\n")
+    got = feeds.check(spark, str(tmp_path))
+    assert row_failures(got) == ["row check failed: differing field counts: 1, 3, 4", "row check failed: 1 rows failed to parse", "potential PII found: email address (field 1), email address (field 1)"]
+    counts = got.marker["metadata"]["counts"]
+    looks = [{x["looks"]: x["count"] for x in f if x["count"]} for f in counts["field-looks"]]
+    assert looks == [{"looks-empty": 1, "looks-text": 2}, {"looks-text": 2}, {"looks-integral": 2}, {"looks-text": 1}]
+    assert [len(t["uniques"]) for t in counts["text-counts"]] == [3, 2, 2, 1]
+    assert [s["type"] for s in counts["numeric-summaries"]["field-summary"]].count("numeric-summary") == 1
+
+
+def test_reservoir_of_repeated_rows(spark, tmp_path):
+    """Rows of equal content are drawn apart: the sample's spread is the feed's."""
+    path = put(tmp_path, "f", b"".join(b"%d|%d\n" % (i % 10, i) for i in range(5000)))
+    rows = text.read_files(spark, [path]).repartition(3)
+    for drawn in (profile.with_draw(rows), profile.with_draw(rows.withColumn("k", F.get("fields", F.lit(1))), ["k"])):
+        found = {r["pos"]: r["sample"] for r in profile.reservoir(drawn, 1000).collect()}
+        assert {p: len(x) for p, x in found.items()} == {0: 1000, 1: 1000} and len(set(found[1])) == 1000
+        assert all(60 <= found[0].count(v) <= 145 for v in range(10)) and abs(sum(found[0]) / 1000 - 4.5) < 0.4
+        assert abs(profile_median(found[1]) - 2499.5) < 300
+    keyed = lambda n: sorted(profile.reservoir(profile.with_draw(rows.repartition(n).withColumn("k", F.get("fields", F.lit(1))), ["k"], seed=3), 50).collect())
+    assert keyed(1) == keyed(5)
+    assert {r["pos"]: len(r["sample"]) for r in profile.reservoir(profile.with_draw(rows), 10_000).collect()} == {0: 5000, 1: 5000}
+    # A field that comes out short below its cut is drawn from all of its rows.
+    few = profile.reservoir(profile.with_draw(rows), 2, {0: 5_000_000, 1: 5000}).collect()
+    assert sorted(len(r["sample"]) for r in few) == [2, 2]
+    assert profile.reservoir(profile.with_draw(rows.where("false")), 5).count() == 0
+
+
+def profile_median(values):
+    v = sorted(values)
+    return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+
+@pytest.mark.parametrize(("accuracy", "at_once"), [(10_000, 2_000_000), (20, 10)])
+def test_exact_medians(spark, monkeypatch, accuracy, at_once):
+    """Also where bounds have to be narrowed before they are sorted, and where one number fills them."""
+    import random
+
+    monkeypatch.setattr(profile, "ACCURACY", accuracy)
+    monkeypatch.setattr(profile, "SORTED_AT_ONCE", at_once)
+    rnd = random.Random(2)
+    groups = {0: [rnd.gauss(0, 9) for _ in range(2001)], 1: [float(rnd.randrange(5)) for _ in range(3000)], 2: [7.0] * 500, 3: [1.0, 2.0], 4: [3.0], 5: [None, None], 6: [1.0] * 400 + [2.0] * 400}
+    cells = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "pos int, num double").repartition(4)
+    got = {r["pos"]: r["median"] for r in profile.exact_medians(cells).collect()}
+    assert got == {g: (None if len(xs) < 2 else profile_median(xs)) for g, xs in groups.items() if g != 5}
+    assert profile.exact_medians(cells.where("false")).count() == 0
+
+
+def test_old_markers_and_errors(spark, tmp_path):
+    def marker(name, version="v1", looks=((60, 0, 0, 0, 0),), uniques=(1,), rows=60, **counts):
+        data = {"version": version, "view": "/v", "timestamp": "2016-01-01 00:00:00", "results": [], "metadata": {"check-dates": ["2016-01-01"], "check-files": [], "check-params": {"separator": "|", "freeform-text-threshold": 50}, "counts": {"bad-rows": 0, "total-rows": rows, "field-counts": [1], **({"field-looks": [markers.look_vector(dict(zip(("looks-empty", "looks-integral", "looks-real", "looks-text", "looks-boolean"), x, strict=True))) for x in looks], "text-counts": [{"type": "unique-text-count", "uniques": list(uniques)}]} if looks else {}), **counts}}}
+        path = tmp_path / name
+        path.write_text(json.dumps(data))
+        return str(path)
+
+    (r,) = markers.read_markers(spark, [marker("a")]).selectExpr("metadata.`check-params` p", "metadata.counts.`numeric-summaries`.type t").collect()
+    assert r["p"]["file-format"] == "rfc4180" and r["p"]["sampling-type"]["type"] == "no-sampling" and r["p"]["pii-check-type"]["type"] == "no-pii-checks" and r["t"] == "no-numeric-field-summary"
+    assert feeds.infer(spark, [marker("a"), marker("b", looks=(), rows=0)]) == [sch.SchemaField("text-field", 1)]
+    for bad, error, why in (([marker("c", version="v9")], markers.MarkerError, "versions"), ([marker("d", looks=())], markers.MarkerError, "no field counts"), ([marker("e", uniques=())], sch.InferenceError, "no text counts"), ([marker("f", looks=((500, 0, 0, 0, 0),))], sch.InferenceError, "more compatible"), ([marker("g", rows=0)], sch.InferenceError, "too few")):
+        with pytest.raises(error, match=why):
+            feeds.infer(spark, bad)
+    said = []
+    feeds.infer(spark, [marker("h", looks=((1, 59, 0, 0, 0),))], say=said.append)
+    assert said == ["0: text-field: 60, boolean-field: 1, integral-field: 60, real-field: 60"]
+
+
 def test_layout(spark, tmp_path):
     put(tmp_path, "a/b", b"x\n")
     put(tmp_path, ".dot", b"y\n")
@@ -171,6 +239,9 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["marker", "failed", *found], out) == 0 and len(out.getvalue().splitlines()) == 2
     (tmp_path / "s.json").write_text("{}")
     assert cli.run(spark, ["schema", "validate", str(tmp_path / "s.json")], out) == 1
+    out = io.StringIO()
+    assert cli.run(spark, ["--dry-run", "check", str(tmp_path), "-d", "-e", "--exit-check-status", "-b", "9"], out) == 0
+    assert "exit_status=True" in out.getvalue() and "include_dot_files=True" in out.getvalue() and "line_bound=9" in out.getvalue()
     with pytest.raises(SystemExit):
         cli.run(spark, ["check", str(tmp_path), "-s", "ab"], out)
 
