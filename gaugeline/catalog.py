@@ -59,6 +59,17 @@ def rounded(df: DataFrame, names: tuple[str, ...], digits: int = 4) -> DataFrame
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+# The words of failures, as checks must say them.
+SAYS_WIDTHS = "row check failed: differing field counts: "
+SAYS_BAD = "row check failed: 1 rows failed to parse"
+SAYS_NO_ROWS = "row check failed: no rows in xSV document"
+SAYS_TYPE = "schema validation failed: Field characteristics differ from those specified in schema: field type (field "
+SAYS_FORM = "schema validation failed: Field characteristics differ from those specified in schema: categorical field form (field "
+SAYS_COUNT = "schema validation failed: Field count in schema differs from unique field observations. schema count is 2, observed 6"
+SAYS_PII = "potential PII found: "
+PII_NAME_SQL = "CASE type WHEN 'phone' THEN 'phone number' WHEN 'email' THEN 'email address' WHEN 'credit-card' THEN 'credit card' ELSE 'address' END"
+
+
 # -- SQL pieces ----------------------------------------------------------------------------------------------------
 def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
@@ -313,7 +324,7 @@ def _included_sql() -> str:
 
 @query(
     "type_failures_orders",
-    "SELECT pos, 'schema validation failed: Field characteristics differ from those specified in schema: field type (field ' || pos || '): expected ' || field_type || ', saw ' || string_agg(look || ': ' || n, ', ' ORDER BY o) AS detail FROM "
+    f"SELECT pos, '{SAYS_TYPE}' || pos || '): expected ' || field_type || ', saw ' || string_agg(look || ': ' || n, ', ' ORDER BY o) AS detail FROM "
     f"(SELECT pos, field_type, look, list_position([{', '.join(_q(x) for x in f.LOOKS)}], look) AS o, count(*) AS n FROM ({annotated_sql(cells_sql('orders'))}) JOIN {_WRONG_SQL} USING (pos) WHERE NOT ({_included_sql()}) GROUP BY ALL) GROUP BY pos, field_type",
 )
 def type_failures_orders(spark, sf_dir):
@@ -323,7 +334,7 @@ def type_failures_orders(spark, sf_dir):
 
 @query(
     "form_failures_orders",
-    "SELECT g.pos, 'schema validation failed: Field characteristics differ from those specified in schema: categorical field form (field ' || g.pos || '): expected ' || s.uniques || ', saw ' || CASE WHEN g.form = 'looks-freeform' THEN 'above freeform threshold' ELSE g.uniques || ' uniques' END AS detail "
+    f"SELECT g.pos, '{SAYS_FORM}' || g.pos || '): expected ' || s.uniques || ', saw ' || CASE WHEN g.form = 'looks-freeform' THEN 'above freeform threshold' ELSE g.uniques || ' uniques' END AS detail "
     f"FROM ({forms_sql('orders')}) g JOIN {_WRONG_SQL} ON g.pos = s.pos WHERE s.uniques IS NOT NULL AND (g.form = 'looks-freeform' OR g.uniques > s.uniques)",
 )
 def form_failures_orders(spark, sf_dir):
@@ -333,13 +344,13 @@ def form_failures_orders(spark, sf_dir):
 
 @query(
     "row_failures_lines",
-    f"SELECT 3 AS ord, 'FieldCountMismatch' AS kind, 'row check failed: differing field counts: ' || string_agg(w, ', ' ORDER BY w) AS detail FROM (SELECT DISTINCT len(string_split(value, '|')) AS w FROM ({LINES_SQL})) UNION ALL SELECT 5, 'HasBadRows', 'row check failed: 1 rows failed to parse'",
+    f"SELECT 3 AS ord, 'FieldCountMismatch' AS kind, '{SAYS_WIDTHS}' || string_agg(w, ', ' ORDER BY w) AS detail FROM (SELECT DISTINCT len(string_split(value, '|')) AS w FROM ({LINES_SQL})) UNION ALL SELECT 5, 'HasBadRows', '{SAYS_BAD}'",
 )
 def row_failures_lines(spark, sf_dir):
     return checks.row_failures(profile.row_summary(text.parse_lines(feed_lines(spark, sf_dir)))).select("ord", "kind", "detail")
 
 
-@query("status_of_empty_feed", "SELECT false AS passed, 'row check failed: no rows in xSV document;row check failed: no rows in xSV document' AS failures")
+@query("status_of_empty_feed", f"SELECT false AS passed, '{SAYS_NO_ROWS};{SAYS_NO_ROWS}' AS failures")
 def status_of_empty_feed(spark, sf_dir):
     none = text.parse_lines(feed_lines(spark, sf_dir).where("false"))
     return checks.status(checks.row_failures(profile.row_summary(none))).select("passed", F.array_join("failures", ";").alias("failures"))
@@ -354,13 +365,13 @@ def status_of_nation(spark, sf_dir):
     return checks.status(found).select("passed", F.size("failures").alias("failures"))
 
 
-@query("width_failure_orders", "SELECT 'FieldCountObservationMismatch' AS kind, 'schema validation failed: Field count in schema differs from unique field observations. schema count is 2, observed 6' AS detail")
+@query("width_failure_orders", f"SELECT 'FieldCountObservationMismatch' AS kind, '{SAYS_COUNT}' AS detail")
 def width_failure_orders(spark, sf_dir):
     s = profile.row_summary(table_rows(spark, sf_dir, "orders"))
     return checks.width_failures(s, sch.schema_frame(spark, [sch.SchemaField("text-field")] * 2)).select("kind", "detail")
 
 
-@query("pii_failure_samples", f"SELECT 'potential PII found: ' || string_agg(CASE type WHEN 'phone' THEN 'phone number' WHEN 'email' THEN 'email address' WHEN 'credit-card' THEN 'credit card' ELSE 'address' END || ' (field 0)', ', ' ORDER BY type) AS detail FROM (SELECT {PII_SQL} AS type FROM ({SAMPLE_SQL})) WHERE type IS NOT NULL")
+@query("pii_failure_samples", f"SELECT '{SAYS_PII}' || string_agg({PII_NAME_SQL} || ' (field 0)', ', ' ORDER BY type) AS detail FROM (SELECT {PII_SQL} AS type FROM ({SAMPLE_SQL})) WHERE type IS NOT NULL")
 def pii_failure_samples(spark, sf_dir):
     return checks.pii_failures(profile.pii_observations(sample_values(spark).select(F.lit(0).alias("pos"), "value"))).select("detail")
 
@@ -504,8 +515,8 @@ def field_profile_ragged(spark, sf_dir):
 
 @query(
     "check_ragged",
-    f"SELECT 'row' AS kind, 'row check failed: differing field counts: ' || (SELECT string_agg(w, ', ' ORDER BY w) FROM (SELECT DISTINCT len(string_split(value, '|')) AS w FROM ({RAGGED_SQL}))) || ';row check failed: 1 rows failed to parse;potential PII found: ' || "
-    "(SELECT string_agg(CASE type WHEN 'phone' THEN 'phone number' WHEN 'email' THEN 'email address' WHEN 'credit-card' THEN 'credit card' ELSE 'address' END || ' (field ' || pos || ')', ', ' ORDER BY type, pos) "
+    f"SELECT 'row' AS kind, '{SAYS_WIDTHS}' || (SELECT string_agg(w, ', ' ORDER BY w) FROM (SELECT DISTINCT len(string_split(value, '|')) AS w FROM ({RAGGED_SQL}))) || ';{SAYS_BAD};{SAYS_PII}' || "
+    f"(SELECT string_agg({PII_NAME_SQL} || ' (field ' || pos || ')', ', ' ORDER BY type, pos) "
     f"FROM (SELECT pos, {PII_SQL} AS type FROM ({RAGGED_CELLS})) WHERE type IS NOT NULL) AS failures",
 )
 def check_ragged(spark, sf_dir):

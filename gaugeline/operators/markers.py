@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugeline.functions import fields as f
 
+# Names and tags of the file format.
 VERSION = "v5"
 VERSIONS = ("v1", "v2", "v3", "v4", "v5")
 RUN_PARAMS = "run-params"
@@ -139,6 +140,7 @@ def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
 
 
 # -- many markers, relationally -----------------------------------------------------------------------------------
+# The shape of the file format.
 _RESULT = "struct<status:struct<status:string,failure:array<string>>,description:string,type:string>"
 _STAT = "struct<type:string,value:double>"
 _SUMMARY = f"struct<type:string,minimum:{_STAT},maximum:{_STAT},mean:{_STAT},stddev:{_STAT},median:{_STAT},sample:struct<`sample-type`:string,`sample-values`:array<double>>>"

@@ -34,6 +34,7 @@ class CheckParams:
     verbose: bool = False
 
     def as_json(self) -> dict[str, Any]:
+        # Names and tags of the file format.
         return {
             "separator": self.separator,
             "line-bound": self.line_bound,

@@ -28,6 +28,7 @@ def row_failures(outcome):
     return outcome.results[0][2]
 
 
+# Small feeds, and the words that checks must say about them.
 @pytest.mark.parametrize(
     ("data", "params", "schema", "want"),
     [
