@@ -2,6 +2,11 @@
 personal data is masked, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined cases, in every stage: a null text counts as empty and stays null where nothing is done to it; an empty table gives
+an empty one; extra columns stay, whatever their names.  Rows that repeat an id: toxicity judges each by its text;
+ngram_jaccard_join keeps one of them; the later stages would treat them as rows of their own.  Rows without an id:
+never learnt from, no one's copy, nothing repeated, and packed like others.
 """
 
 from __future__ import annotations
