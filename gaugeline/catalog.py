@@ -187,7 +187,7 @@ def type_candidates_events(spark, sf_dir):
     return ratios.select("pos", F.array_join(sch.candidates(), ",").alias("candidates"))
 
 
-@query("median_lineitem", f"SELECT pos, CASE WHEN count(num) >= 2 THEN round(median(num), 4) END AS median FROM ({annotated_sql(cells_sql('lineitem'))}) WHERE num IS NOT NULL GROUP BY pos")
+@query("median_lineitem", f"SELECT pos, CASE WHEN count(num) >= 2 THEN round(median(num), 4) END AS median FROM ({annotated_sql(cells_sql('lineitem'))}) GROUP BY pos")
 def median_lineitem(spark, sf_dir):
     cells = profile.annotated(profile.exploded(table_rows(spark, sf_dir, "lineitem")))
     return profile.exact_medians(cells).select("pos", F.round("median", 4).alias("median"))
@@ -454,6 +454,13 @@ def reservoir_median_lineitem(spark, sf_dir):
     return lineitem_sample(spark, sf_dir).select("pos", F.size("sample").cast("bigint").alias("size"), F.round(profile.sample_median(F.col("sample")), 4).alias("median"))
 
 
+@query("reservoir_sizes", "SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS pos, least(100, (SELECT count(*) FROM lineitem)) AS size, true AS within")
+def reservoir_sizes(spark, sf_dir):
+    drawn = lineitem_sample(spark, sf_dir)
+    span = profile.field_profile(table_rows(spark, sf_dir, "lineitem")).select("pos", F.col("minimum").alias("lo"), F.col("maximum").alias("hi"))
+    return drawn.join(F.broadcast(span), "pos").select("pos", F.size("sample").cast("bigint").alias("size"), F.forall("sample", lambda x: x.between(F.col("lo"), F.col("hi"))).alias("within"))  # one row a field
+
+
 @query("reservoir_whole_supplier", f"SELECT pos, count(num) AS size, round(median(num), 4) AS median, round(sum(num), 2) AS total FROM ({annotated_sql(cells_sql('supplier'))}) WHERE num IS NOT NULL GROUP BY pos")
 def reservoir_whole_supplier(spark, sf_dir):
     """A feed with fewer rows than the reservoir has places is its own sample, whichever the draws."""

@@ -192,16 +192,18 @@ ACCURACY, SORTED_AT_ONCE = 10_000, 2_000_000
 
 
 def exact_medians(cells: DataFrame, group: str = "pos", num: str = "num") -> DataFrame:
-    """(group, median): the exact median of each group's numbers, null below two; null numbers leave no trace.
+    """(group, median): the exact median of each group's numbers, null below two; null numbers don't count.
 
     A quantile sketch, summed by task, bounds the middle from both sides; numbers below are counted, and only the distinct
     ones between the bounds are sorted.  Bounds that hold more than SORTED_AT_ONCE are narrowed first, so no task holds a
     group, however large.
     """
-    x = cells.select(F.col(group).alias("g"), F.col(num).cast("double").alias("x")).where("x is not null")
+    given = cells.select(F.col(group).alias("g"), F.col(num).cast("double").alias("x"))
+    x = given.where("x is not null")
     margin = 2 / ACCURACY
-    sketched = x.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("x", [0.5 - margin, 0.5 + margin], ACCURACY).alias("q"))
-    found = {r["g"]: (r["n"], *r["q"]) for r in sketched.collect()}
+    sketched = given.groupBy("g").agg(F.count("x").alias("n"), F.percentile_approx("x", [0.5 - margin, 0.5 + margin], ACCURACY).alias("q")).collect()
+    found = {r["g"]: (r["n"], *r["q"]) for r in sketched if r["n"]}
+    without = x.sparkSession.createDataFrame([(r["g"], None) for r in sketched if not r["n"]], T.StructType([x.schema["g"], T.StructField("median", T.DoubleType())]))
     inside = {g: 2 * margin * n for g, (n, _, _) in found.items()}
     while any(k > SORTED_AT_ONCE and found[g][1] < found[g][2] for g, k in inside.items()):
         narrower, held = _narrowed(x, found, margin)
@@ -214,7 +216,7 @@ def exact_medians(cells: DataFrame, group: str = "pos", num: str = "num") -> Dat
     upto = met.join(F.broadcast(frame), "g").withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda rank: F.min_by("v", F.when(F.col("upto") > rank, F.col("upto")))
     middle = upto.groupBy("g").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), F.first("n").alias("n"))
-    return middle.select(F.col("g").alias(group), F.when(F.col("n") >= 2, F.col("median")).alias("median"))
+    return middle.select("g", F.when(F.col("n") >= 2, F.col("median")).alias("median")).unionByName(without).withColumnRenamed("g", group)
 
 
 def _bounds(x: DataFrame, found: dict) -> DataFrame:
