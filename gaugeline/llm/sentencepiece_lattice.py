@@ -24,6 +24,7 @@ import heapq
 import re
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -360,11 +361,29 @@ def merged_words(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame
     return known.withColumn("cuts", F.expr(_MERGES)).select("word", F.expr(_PIECES).alias("ids"))
 
 
-def unit_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each unit of the texts is used, spaces written as U+2581.  Counted by task before anything is shuffled."""
-    text = F.concat(F.lit(" "), F.translate("text", SPACE, " "))
-    units = docs.where(F.length("text") > 0).select(F.explode(F.regexp_extract_all(text, F.lit(r"( *+[^ \n\t\r]++| ++|[\n\t\r])"), F.lit(1))).alias("word"))
-    return units.groupBy("word").agg(F.count("*").alias("n")).select(F.translate("word", " ", SPACE).alias("word"), "n")
+def unit_counts(docs: DataFrame, chars: int = 4_000_000) -> DataFrame:
+    """(word, n): how often each unit of the texts is used, spaces written as U+2581.  Counted by stretches of texts before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array([u.replace(" ", SPACE) for u in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    given = " " + t.replace(SPACE, " ")
+                    seen.update(UNITS.findall(given) if len(t) < chars else (m[0] for m in UNITS.finditer(given)))
+                    size += len(t)
+                if size >= chars:
+                    yield counted()
+                    seen, size = Counter(), 0
+        if seen:
+            yield counted()
+
+    return ready(docs).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_units(docs: DataFrame, most: int) -> DataFrame:
