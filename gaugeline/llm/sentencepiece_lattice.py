@@ -39,7 +39,7 @@ UNITS = re.compile(r" *[^ \n\t\r]+| +|[\n\t\r]")
 #: Longest unit that the lattice takes, and most units at once.
 LONGEST, AT_ONCE = 40, 20_000
 #: Units that are encoded relationally, at most: their ids are broadcast.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
 #: Units whose pieces a worker remembers: so many that it has met lately, and as many from before that.
 REMEMBERED = 250_000
 #: Pairs of pieces whose standing side by side a worker remembers, as a power of two.
