@@ -120,6 +120,19 @@ def status(spark: SparkSession, path: str) -> FileStatus:
     return FileStatus(path, int(s.getLen()), bool(s.isFile()) and not _is_link(path))
 
 
+def remove_empty(spark: SparkSession, view: str) -> None:
+    """Files without a byte go from a view that Spark wrote; if no file has any, the first stays.
+
+    Spark writes a file for its first task even if that has no rows, as where a table's first split has no row group;
+    a check takes an empty file for a failed delivery.
+    """
+    files = walk(spark, view)
+    full = {p for p in files if status(spark, p).size}
+    for path in (p for p in files[not full :] if p not in full):
+        fs, p = _file_system(spark, path)
+        fs.delete(p, False)
+
+
 def file_marker_path(path: str) -> str:
     """Where a file's marker goes: beside it, with a name that views pass over."""
     folder, _, name = path.rpartition("/")

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline import cli
+from gaugeline import catalog, cli
 from gaugeline.operators import markers, profile, schema as sch
 from gaugeline.plans import feeds
 from gaugeline.sources import generate, text, views
@@ -148,6 +148,30 @@ def test_layout(spark, tmp_path):
         views.traverse(spark, str(tmp_path / "deep"))
 
 
+@pytest.mark.parametrize(("table", "days"), [("orders", ("2016-03-24", "2016-03-25"))])
+def test_feed_of_a_table_whose_first_split_has_no_rows(spark, tmp_path, table, days):
+    """A row group belongs to the split that holds its middle, so the first of several splits may be without rows."""
+    size = os.path.getsize(f"/root/testdata/sf0.001/{table}.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size // 8)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        lines = catalog.table_lines(spark, "/root/testdata/sf0.001", table)
+        assert not lines.where(F.spark_partition_id() == 0).count()
+        root = catalog.write_feed(spark, lines, days)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = feeds.check(spark, root, feeds.CheckParams(max_pii=None))
+    assert got.passed and got.marker["metadata"]["check-dates"] == list(days)
+    assert got.marker["metadata"]["counts"]["total-rows"] == lines.count()
+
+
+def test_feed_without_lines_keeps_an_empty_file(spark):
+    root = catalog.write_feed(spark, spark.createDataFrame([], "value string"))
+    got = feeds.check(spark, root, feeds.CheckParams(max_pii=None))
+    assert got.results[1][2] == ["sanity check failed: file of zero size"]
+
+
 def test_marker_paths():
     p = "/v/year=2015/month=04/day=04/x/bar"
     assert views.file_marker_path(p) == "/v/year=2015/month=04/day=04/x/_bar.marker"
