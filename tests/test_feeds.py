@@ -148,7 +148,7 @@ def test_layout(spark, tmp_path):
         views.traverse(spark, str(tmp_path / "deep"))
 
 
-@pytest.mark.parametrize(("table", "days"), [("orders", ("2016-03-24", "2016-03-25"))])
+@pytest.mark.parametrize(("table", "days"), [("orders", ("2016-03-24", "2016-03-25")), ("customer", ("2016-03-24",))])
 def test_feed_of_a_table_whose_first_split_has_no_rows(spark, tmp_path, table, days):
     """A row group belongs to the split that holds its middle, so the first of several splits may be without rows."""
     size = os.path.getsize(f"/root/testdata/sf0.001/{table}.parquet")
