@@ -6,6 +6,8 @@ position that any of them has; a row that lacks a position leaves no trace there
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gaugeline.functions import fields as f
@@ -187,53 +189,81 @@ def sample_median(sample: Column) -> Column:
     )[0]
 
 
-#: Accuracy of the quantile sketch, and distinct numbers of a group that are sorted in one place.
-ACCURACY, SORTED_AT_ONCE = 10_000, 2_000_000
+#: Buckets that numbers are first counted by, for each doubling, and numbers of a group that are sorted in one place.
+ACCURACY, SORTED_AT_ONCE = 1_000, 2_000_000
+#: Open groups up to which other groups' cells are passed over before their numbers are made.
+LISTED = 100
 
 
 def exact_medians(cells: DataFrame, group: str = "pos", num: str = "num") -> DataFrame:
     """(group, median): the exact median of each group's numbers, null below two; null numbers don't count.
 
-    A quantile sketch, summed by task, bounds the middle from both sides; numbers below are counted, and only the distinct
-    ones between the bounds are sorted.  Bounds that hold more than SORTED_AT_ONCE are narrowed first, so no task holds a
+    Numbers are counted by buckets that follow their order, so the counts say which bucket has the middle.  If a single
+    number fills it, or the middle lies between two buckets, the buckets' ends give the median.  Else only the distinct
+    numbers of that bucket are sorted, after finer buckets where it holds more than SORTED_AT_ONCE, so no task holds a
     group, however large.
     """
     given = cells.select(F.col(group).alias("g"), F.col(num).cast("double").alias("x"))
-    x = given.where("x is not null")
-    margin = 2 / ACCURACY
-    sketched = given.groupBy("g").agg(F.count("x").alias("n"), F.percentile_approx("x", [0.5 - margin, 0.5 + margin], ACCURACY).alias("q")).collect()
-    found = {r["g"]: (r["n"], *r["q"]) for r in sketched if r["n"]}
-    without = x.sparkSession.createDataFrame([(r["g"], None) for r in sketched if not r["n"]], T.StructType([x.schema["g"], T.StructField("median", T.DoubleType())]))
-    inside = {g: 2 * margin * n for g, (n, _, _) in found.items()}
-    while any(k > SORTED_AT_ONCE and found[g][1] < found[g][2] for g, k in inside.items()):
-        narrower, held = _narrowed(x, found, margin)
-        if narrower == found:
+    ends = [F.count("x").alias("c"), F.min("x").alias("a"), F.max("x").alias("b")]
+    counted = given.groupBy("g", _octaves(F.col("x")).alias("k")).agg(*ends)
+    done, left = _middles(counted.withColumns({"n": F.sum("c").over(Window.partitionBy("g")), "below": F.lit(0).cast("bigint")}))
+    while any(x[-1] > SORTED_AT_ONCE for x in left.values()):
+        finer = F.floor((F.col("x") - F.col("a")) / (F.col("b") - F.col("a")) * ACCURACY)
+        more, open_ = _middles(_within(given, left).groupBy("g", finer.alias("k"), "n", "below").agg(*ends))
+        shrunk = len(open_) < len(left) or any(x[-1] < left[g][-1] for g, x in open_.items())
+        done, left = done | more, open_
+        if not shrunk:  # infinite numbers, which no finer buckets part
             break
-        found, inside = narrower, held
-    frame = _bounds(x, found)
-    # One row a group on the broadcast side.
-    met = x.join(F.broadcast(frame), "g").where(F.col("x") <= F.col("b")).groupBy("g", F.when(F.col("x") >= F.col("a"), F.col("x")).alias("v")).agg(F.count("*").alias("c"))
-    upto = met.join(F.broadcast(frame), "g").withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda rank: F.min_by("v", F.when(F.col("upto") > rank, F.col("upto")))
-    middle = upto.groupBy("g").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), F.first("n").alias("n"))
-    return middle.select("g", F.when(F.col("n") >= 2, F.col("median")).alias("median")).unionByName(without).withColumnRenamed("g", group)
-
-
-def _bounds(x: DataFrame, found: dict) -> DataFrame:
-    schema = T.StructType([x.schema["g"], T.StructField("n", T.LongType()), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    return x.sparkSession.createDataFrame([(g, *v) for g, v in found.items()], schema)
-
-
-def _narrowed(x: DataFrame, found: dict, margin: float) -> tuple[dict, dict]:
-    """Bounds from a sketch of the numbers within the bounds, and how many are within the new ones."""
-    met = x.join(F.broadcast(_bounds(x, found)), "g")
-    here = (F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b"))
-    counted = {r["g"]: (r["below"], r["within"]) for r in met.groupBy("g").agg(F.count_if(F.col("x") < F.col("a")).alias("below"), F.count_if(here).alias("within")).collect()}
-    places = {}
-    for g, (n, _, _) in found.items():
-        below, within = counted[g]
-        places[g] = [min(1.0, max(0.0, ((n - 1) // 2 + 0.5 - below) / within - margin)), min(1.0, max(0.0, (n // 2 + 0.5 - below) / within + margin))]
-    asked = sorted({p for ps in places.values() for p in ps})
-    sketch = {r["g"]: dict(zip(asked, r["q"], strict=True)) for r in met.where(here).groupBy("g").agg(F.percentile_approx("x", asked, ACCURACY).alias("q")).collect()}
-    new = {g: (n, sketch[g][places[g][0]], sketch[g][places[g][1]]) for g, (n, _, _) in found.items()}
-    return new, {g: (places[g][1] - places[g][0]) * counted[g][1] for g in found}
+    found = given.sparkSession.createDataFrame(list(done.items()), T.StructType([given.schema["g"], T.StructField("median", T.DoubleType())]))
+    if left:
+        once = _within(given, left).groupBy("g", "x", "n", "below").agg(F.count("*").alias("c"))
+        upto = once.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("g").orderBy("x")))
+        lower, upper = (F.min_by("x", F.when(F.col("upto") > rank, F.col("upto"))) for rank in _ranks())
+        found = found.unionByName(upto.groupBy("g").agg(((lower + upper) / 2).alias("median")))
+    return found.withColumnRenamed("g", group)
+
+
+def _ranks() -> list[Column]:
+    """How many of a group's ``n`` numbers come before each of the two in the middle."""
+    return [F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)]
+
+
+def _octaves(x: Column) -> Column:
+    """A whole number that never falls as x rises, ACCURACY of them for each doubling; null for null.
+
+    Spark's logarithm is semi-monotonic by its definition (StrictMath); infinities and NaN come after all numbers.
+    """
+    place = F.floor(F.least(F.log(F.abs(x)), F.lit(711.0)) * (ACCURACY / math.log(2))) + 1100 * ACCURACY
+    return F.when(x == 0, F.lit(0)).when(x > 0, place).when(x < 0, -place)
+
+
+def _middles(counted: DataFrame) -> tuple[dict, dict]:
+    """From counts ``c`` and ends ``a``, ``b`` by bucket: the medians that they decide, and for each other group its count, how
+    many of its numbers are below the bucket of the middle, that bucket's ends, and how many it holds."""
+    upto = counted.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("g").orderBy(F.col("k").asc_nulls_first())))
+    bucket = F.struct("a", "b", (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("held"))
+    lower, upper = (F.min_by(bucket, F.when(F.col("upto") > rank, F.col("upto"))) for rank in _ranks())
+    done, left = {}, {}
+    for r in upto.groupBy("g").agg(F.max("n").alias("n"), lower.alias("lower"), upper.alias("upper")).collect():  # one row a group
+        at, then = r["lower"], r["upper"]
+        if r["n"] < 2:
+            done[r["g"]] = None
+        elif at["below"] != then["below"]:
+            done[r["g"]] = (at["b"] + then["a"]) / 2
+        elif at["a"] == at["b"]:
+            done[r["g"]] = at["a"]
+        else:
+            left[r["g"]] = (r["n"], at["below"], at["a"], at["b"], at["held"])
+    return done, left
+
+
+def _within(given: DataFrame, left: dict) -> DataFrame:
+    """The numbers of the open groups' buckets, with ``n``, ``below`` and the ends."""
+    kind, whole, real = given.schema["g"].dataType, T.LongType(), T.DoubleType()
+    shape = T.StructType([T.StructField("h", kind), T.StructField("n", whole), T.StructField("below", whole), T.StructField("a", real), T.StructField("b", real)])
+    frame = given.sparkSession.createDataFrame([(g, *x[:-1]) for g, x in left.items()], shape)
+    if len(left) <= LISTED:
+        given = given.where(F.col("g").isin([g for g in left if g is not None]) | (F.col("g").isNull() if None in left else F.lit(False)))
+    # The condition is false, not null, for no number: else Spark would make each number twice, once to see whether it is there.
+    here = F.coalesce((F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b")), F.lit(False))
+    return given.join(F.broadcast(frame), F.col("g").eqNullSafe(F.col("h")) & here).drop("h")  # one row a group

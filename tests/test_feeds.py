@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline import catalog, cli
 from gaugeline.operators import markers, profile, schema as sch
 from gaugeline.plans import feeds
-from gaugeline.sources import generate, text, views
+from gaugeline.sources import generate, tables, text, views
 from gaugeline.streaming import profiles
 
 DAY = "year=2016/month=03/day=24"
@@ -105,6 +105,36 @@ def test_exact_medians(spark, monkeypatch, accuracy, at_once):
     assert profile.exact_medians(cells.where("false")).count() == 0
 
 
+def test_medians_of_signs_infinities_and_null_groups(spark, monkeypatch):
+    """Buckets keep the order of numbers of any sign and size; a group without a name is one too."""
+    inf = float("inf")
+    groups = {None: [1.0, 5.0, 9.0], 1: [-inf, -1e300, -5e-324, 0.0, 5e-324, 1e300, inf], 2: [-3.5] * 5 + [-3.25] * 5, 3: [inf] * 9 + [1.0], 4: [1e15 + i for i in range(101)], 5: [-(2.0**53) + i for i in range(100)]}
+    cells = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "pos int, num double").repartition(3)
+    for at_once in (2_000_000, 1):
+        monkeypatch.setattr(profile, "SORTED_AT_ONCE", at_once)
+        got = {r["pos"]: r["median"] for r in profile.exact_medians(cells).collect()}
+        assert got == {g: profile_median(xs) for g, xs in groups.items()}
+
+
+def test_medians_sort_only_the_middle(spark):
+    """The rows that reach the sort are a bucket's, of the open groups alone."""
+    cells = spark.range(100_000).select((F.col("id") % 2).cast("int").alias("pos"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.lit(7)).cast("double").alias("num"))
+    done, left = profile._middles(cells.withColumnsRenamed({"pos": "g", "num": "x"}).groupBy("g", profile._octaves(F.col("x")).alias("k")).agg(F.count("x").alias("c"), F.min("x").alias("a"), F.max("x").alias("b")).withColumns({"n": F.lit(50_000).cast("bigint"), "below": F.lit(0).cast("bigint")}))
+    assert done == {1: 7.0} and list(left) == [0] and left[0][-1] < 200
+    assert {r["pos"]: r["median"] for r in profile.exact_medians(cells).collect()} == {0: 49_999.0, 1: 7.0}
+
+
+def test_number_cells_are_the_numbers_of_the_text(spark):
+    """Numbers straight from a table's columns are those that its fields' text holds."""
+    doubles = [0.0, -0.0, 0.00005, 1.00005, -2.5, 1234.56785, 1e20, -1e-9, None, 0.1 + 0.2, 123456789.98765]
+    table = spark.createDataFrame([(x, None if x is None else i, 2**62 + i, str(x), None if x is None else i % 2 == 0, "2016-03-04") for i, x in enumerate(doubles)], "d double, i int, l bigint, s string, b boolean, t string")
+    table = table.withColumns({"f": F.col("d").try_cast("float"), "t": F.col("t").cast("timestamp"), "day": F.col("t").cast("date"), "dec": F.lit("12.50").cast("decimal(9,2)")})
+    want = profile.annotated(profile.exploded(tables.rows_of(table))).select("pos", "num").collect()
+    got = tables.number_cells(table).collect()
+    key = lambda rows: sorted(map(str, rows))
+    assert key(got) == key(want) and len(got) == len(doubles) * len(table.columns)
+
+
 def test_old_markers_and_errors(spark, tmp_path):
     def marker(name, version="v1", looks=((60, 0, 0, 0, 0),), uniques=(1,), rows=60, **counts):
         data = {"version": version, "view": "/v", "timestamp": "2016-01-01 00:00:00", "results": [], "metadata": {"check-dates": ["2016-01-01"], "check-files": [], "check-params": {"separator": "|", "freeform-text-threshold": 50}, "counts": {"bad-rows": 0, "total-rows": rows, "field-counts": [1], **({"field-looks": [markers.look_vector(dict(zip(("looks-empty", "looks-integral", "looks-real", "looks-text", "looks-boolean"), x, strict=True))) for x in looks], "text-counts": [{"type": "unique-text-count", "uniques": list(uniques)}]} if looks else {}), **counts}}}
